@@ -79,7 +79,7 @@ def support_tickets(tables: Tables, params: RefundParams) -> DataFrame:
     rows = rows.where(F.col("service") == params.codes.ticket_service)
     rows = enrich(rows, tables["country"], [("country", F.lower("code"))], {"country_id": "id"})
     rows = rows.where(one_of(F.col("country_id"), params.countries))
-    return rows.select(F.col("id").cast("string").alias("ticket"), "booking_code", "disposition")
+    return rows.select("id", F.col("id").cast("string").alias("ticket"), "booking_code", "disposition")
 
 
 def order_facts(tables: Tables, params: RefundParams) -> DataFrame:
@@ -314,7 +314,7 @@ def order_report(tables: Tables, params: RefundParams) -> DataFrame:
         found.append(F.col("case_booking"))
     rows = rows.where(exists_any(found))
     rows = enrich(rows, support_tickets(tables, params), [(booking, "booking_code")], {
-        "zendesk_ticket_id": "ticket", "zendesk_disposition": "disposition",
+        "zendesk_ticket_id": "id", "zendesk_disposition": "disposition",
     })
     rows = enrich(rows, tables["customer_dim"], [("pax_id", "id")], {"passenger_name": "name"})
     rows = enrich(rows, tables["merchant"], [("merchant_id", "merchant_id")], MERCHANT_TAKE)

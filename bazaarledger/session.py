@@ -32,8 +32,9 @@ def configured_session(app_name: str = "bazaarledger", **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
-def require_utc(spark: SparkSession) -> None:
-    """Fail early when local-time columns would be wrong."""
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
-        raise ValueError(f"reports need spark.sql.session.timeZone=UTC, found {zone}")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply to a session somebody else built: the required settings, and those that guard joins against hot keys."""
+    guards = {key: value for key, value in RECOMMENDED.items() if "roadcast" not in key}
+    for key, value in {**guards, **REQUIRED}.items():
+        spark.conf.set(key, value)
+    return spark
