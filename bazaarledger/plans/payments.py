@@ -18,7 +18,7 @@ from ..functions.predicates import by_mode, in_null_safe, not_in_null_safe, one_
 from ..functions.scalars import iso_time, local_date, local_time, minor_to_major, number, number_or_zero, text_guard
 from ..operators.aggregates import sum_list
 from ..operators.joins import enrich, semi_filter
-from ..sources.documents import CASHIER_MERCHANT_METADATA, ORDER_DOCUMENT, ORDER_METADATA
+from ..sources.documents import CASHIER_MERCHANT_METADATA, ORDER_METADATA
 from ..sources.logs import log_events
 from ..sources.partitions import YearMonthDay, partition_between
 from ..sources.tables import Tables
@@ -117,11 +117,13 @@ def mode_filters(params: PaymentParams) -> Column:
     )
 
 
-def parsed_orders(orders: DataFrame, fields: Mapping[str, Column], wanted: Column | None = None) -> DataFrame:
+def parsed_orders(
+    orders: DataFrame, document: str, fields: Mapping[str, Column], wanted: Column | None = None
+) -> DataFrame:
     """Parse both JSON columns once, apply document filters, keep flat columns."""
     parsed = orders.select(
         *ORDER_COLUMNS,
-        F.from_json("snapshot_detail", ORDER_DOCUMENT).alias("doc"),
+        F.from_json("snapshot_detail", document).alias("doc"),
         F.from_json("metadata", ORDER_METADATA).alias("meta"),
     )
     if wanted is not None:
@@ -130,14 +132,19 @@ def parsed_orders(orders: DataFrame, fields: Mapping[str, Column], wanted: Colum
 
 
 def payment_orders(
-    tables: Tables, params: PaymentParams, fields: Mapping[str, Column], delivered_slack_days: int, city_join: str
+    tables: Tables,
+    params: PaymentParams,
+    document: str,
+    fields: Mapping[str, Column],
+    delivered_slack_days: int,
+    city_join: str,
 ) -> DataFrame:
     orders = local_orders(tables, params, delivered_slack_days, city_join)
     orders = orders.where(one_of(F.col("order_id"), params.order_ids) & by_mode(params.completion, {
         Completion.COMPLETED_ONLY: lambda: F.col("order_state") == COMPLETED_STATE,
         Completion.EXCLUDE_COMPLETED: lambda: F.col("order_state") != COMPLETED_STATE,
     }))
-    return parsed_orders(orders, fields, mode_filters(params))
+    return parsed_orders(orders, document, fields, mode_filters(params))
 
 
 def discount_fields() -> dict[str, Column]:
@@ -259,6 +266,33 @@ def local_times() -> dict[str, Column]:
     }
 
 
+def place_columns() -> list[Column]:
+    """Order, city, booking and cancellation columns every version shows as they are, plus later join keys."""
+    return [
+        F.col(name) for name in (
+            "city_name", "city_id", "country_id", "order_id", "last_booking_code", "short_order_number", "merchant_id",
+            "pickup_area", "dropoff_area", "driver_id", "driver_delivery_fee", "cancel_code", "cancel_msg",
+        )
+    ] + [F.col("country_code").alias("country_name")]
+
+
+def settled(rows: DataFrame, *plain: str, **computed: Column) -> DataFrame:
+    """Reduce joined orders to finished columns before the payout and merchant joins carry them further."""
+    times = local_times()
+    return rows.select(
+        *place_columns(), *plain, *[time.alias(name) for name, time in times.items()],
+        *[column.alias(name) for name, column in computed.items()],
+    )
+
+
+TIME_COLUMNS = (
+    "order_create_date_local", "order_delivery_date_local", "order_create_time_local", "order_allocated_time_local",
+    "pos_order_submit_time_local", "order_driver_at_store_time_local", "order_food_collected_time_local",
+    "order_driver_arrive_customer_time_local", "order_delivery_time_local", "order_del_cancel_time_local",
+    "order_pre_cancel_time_local", "order_store_confirm_time_local",
+)
+
+
 def cashier_settlements(tables: Tables, params: PaymentParams) -> DataFrame:
     """Merchant payments from the cashier ledger. The window lies around the period's first day on both sides."""
     rows = partition_between(tables["cashier_payment"], params.start, params.start, 10, 10, YearMonthDay())

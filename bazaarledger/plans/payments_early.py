@@ -11,6 +11,7 @@ from ..functions.order_rules import accept_labels_v1, final_state, pay_status_v1
 from ..functions.payment_rules import net_payable_v1, order_values, payout_filter
 from ..functions.scalars import minor_to_major, never_matching
 from ..operators.joins import enrich
+from ..sources.documents import EARLY_ORDER_DOCUMENT
 from ..sources.tables import Tables
 from . import payments as p
 from .params import EarlyPaymentParams
@@ -19,7 +20,7 @@ from .params import EarlyPaymentParams
 def early_payment_report(tables: Tables, params: EarlyPaymentParams) -> DataFrame:
     orders = p.local_orders(tables, params, delivered_slack_days=1)
     orders = orders.where(F.col("country_id").isin(list(params.fixed_countries)))
-    orders = p.parsed_orders(orders, {
+    orders = p.parsed_orders(orders, EARLY_ORDER_DOCUMENT, {
         **order_values(p.doc()), "merchant_commission": minor_to_major(p.cart()["totalQuoteInMin"]["mexCommission"]),
     })
 
@@ -33,31 +34,30 @@ def early_payment_report(tables: Tables, params: EarlyPaymentParams) -> DataFram
         "promo_amount": "promo_expense",
     }, "inner")
     rows = p.with_accept_log(tables, rows, params)
+
+    logged = F.col("auto_accept_order").isNotNull()
+    pre_tax, tax, commission = F.col("order_value_pre_tax"), F.col("tax_value"), F.col("merchant_commission")
+    labels, flags = accept_labels_v1(logged), pos_flags(params.codes, with_payer=False)
+    rows = p.settled(
+        rows, "customer_delivery_fee", "promo_code", "promo_amount",
+        order_value_pre_tax=F.round(pre_tax, 2), order_value_with_tax=F.round("order_value_with_tax", 2),
+        tax_perc=F.col("tax"), tax_value=F.round(tax, 2), commission_rate=F.col("commission"),
+        merchant_commission=F.round(commission, 2), net_payable=net_payable_v1(pre_tax, tax, commission),
+        pay_status=pay_status_v1(logged), final_state=final_state(), **labels, **flags,
+    )
+
     types = {currency: (EARLY_PAYOUT_TYPE,) for currency in EARLY_PAYOUT_CURRENCIES}
     payouts = p.own_payouts(tables, params, payout_filter(F.col("currency"), F.col("txtype"), types))
     booking = never_matching(F.col("last_booking_code"), F.col("order_id"))
     rows = enrich(rows, payouts, [(booking, "orderid")], p.PAYOUT_COLUMNS)
     rows = p.with_merchant(tables, rows, params.chains)
-
-    logged = F.col("auto_accept_order").isNotNull()
-    pre_tax, tax, commission = F.col("order_value_pre_tax"), F.col("tax_value"), F.col("merchant_commission")
-    times = p.local_times()
     return rows.select(
-        "city_name", F.col("country_code").alias("country_name"), "city_id", "country_id", "order_id",
-        F.col("last_booking_code").alias("booking_code"), F.col("short_order_number").alias("short_order_id"),
-        "merchant_account_id", "merchant_id", "wallet_account_id", "merchant_name", "invoice_contact_email",
-        *((*p.LEGACY_BANK_COLUMNS, *p.BANK_COLUMNS) if params.bank_details else ()),
-        *[time.alias(name) for name, time in times.items()],
+        "city_name", "country_name", "city_id", "country_id", "order_id", F.col("last_booking_code").alias("booking_code"),
+        F.col("short_order_number").alias("short_order_id"), "merchant_account_id", "merchant_id", "wallet_account_id",
+        "merchant_name", "invoice_contact_email",
+        *((*p.LEGACY_BANK_COLUMNS, *p.BANK_COLUMNS) if params.bank_details else ()), *p.TIME_COLUMNS,
         "pickup_area", "dropoff_area", "driver_id", "driver_delivery_fee", "customer_delivery_fee", "promo_code",
-        "promo_amount",
-        F.round(pre_tax, 2).alias("order_value_pre_tax"),
-        F.round("order_value_with_tax", 2).alias("order_value_with_tax"),
-        F.col("tax").alias("tax_perc"), F.round(tax, 2).alias("tax_value"),
-        F.col("commission").alias("commission_rate"), F.round(commission, 2).alias("merchant_commission"),
-        net_payable_v1(pre_tax, tax, commission).alias("net_payable"),
-        pay_status_v1(logged).alias("pay_status"),
-        *[label.alias(name) for name, label in accept_labels_v1(logged).items()],
-        "cancel_msg", "cancel_reason_enum", final_state().alias("final_state"),
-        *[flag.alias(name) for name, flag in pos_flags(params.codes, with_payer=False).items()],
+        "promo_amount", "order_value_pre_tax", "order_value_with_tax", "tax_perc", "tax_value", "commission_rate",
+        "merchant_commission", "net_payable", "pay_status", *labels, "cancel_msg", "cancel_reason_enum", "final_state", *flags,
         *(p.PAYOUT_COLUMNS if params.payout_details else ()),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import between_days
@@ -11,20 +11,33 @@ from ..functions.payment_rules import net_payable, payout_filter, promo_override
 from ..functions.predicates import by_mode, one_of
 from ..functions.scalars import number, number_or_zero
 from ..operators.joins import enrich
+from ..sources.documents import ORDER_DOCUMENT_WHOLE
 from ..sources.partitions import YearMonthDay, partition_between
 from ..sources.tables import Tables
 from . import payments as p
 from .params import PaymentParams, YesNo
 
 
-def auto_accept_filter(mode: YesNo):
+def auto_accept_filter(mode: YesNo) -> Column:
     flag = F.col("auto_accept_flag")
     return by_mode(mode, {YesNo.YES: lambda: flag == "mex_auto_accept", YesNo.NO: flag.isNull})
 
 
+PROMO_SOURCES = ("order_promo_code", "mart_promo_code", "order_promo_expense", "mart_promo_expense")
+
+
+def chosen_promo(params: PaymentParams) -> list[Column]:
+    """Promo code and expense, from the order document for the brands that need it."""
+    pattern = params.codes.promo_name_pattern
+    return [
+        promo_override(F.col("merchant_name"), pattern, F.col(f"order_{name}"), F.col(f"mart_{name}")).alias(name)
+        for name in ("promo_code", "promo_expense")
+    ]
+
+
 def single_payment_report(tables: Tables, params: PaymentParams) -> DataFrame:
     totals = p.cart()["totalQuoteInMin"]
-    orders = p.payment_orders(tables, params, {
+    orders = p.payment_orders(tables, params, ORDER_DOCUMENT_WHOLE, {
         **p.quoted_tax_fields(), **p.promo_fields(), **p.discount_fields(),
         "commission_value": (number_or_zero(totals["mexCommission"]) + number_or_zero(totals["gkCommission"])) / F.lit(100.0),
         "commission_rate": F.coalesce(number(p.merchant_info()["commission"]), F.col("commission")),
@@ -45,36 +58,32 @@ def single_payment_report(tables: Tables, params: PaymentParams) -> DataFrame:
         "mart_promo_expense": "promo_expense", "mart_sub_total": "food_sub_total",
     }, "inner")
     rows = p.with_accept_log(tables, rows, params)
-    payouts = p.own_payouts(tables, params, payout_filter(F.col("currency"), F.col("txtype")))
-    payouts = partition_between(payouts, params.start, params.end, 15, 15, YearMonthDay())
-    rows = enrich(rows, payouts, [(F.coalesce("last_booking_code", "order_id"), "orderid")], p.PAYOUT_COLUMNS)
-    rows = p.with_merchant(tables, rows, params.chains)
 
     auto = auto_accepted(F.col("auto_accept_order").isNotNull(), params.as_of, params.retention_days)
-    pattern, merchant = params.codes.promo_name_pattern, F.col("merchant_name")
     pre_tax, tax, commission = F.col("pre_tax"), F.col("tax_value"), F.col("commission_value")
     discount = F.col("funded_discount_ex_tax")
-    report = rows.select(
-        "city_name", F.col("country_code").alias("country_name"), "city_id", "country_id", "order_id",
-        F.col("last_booking_code").alias("booking_code"), "short_order_number",
-        "merchant_account_id", "merchant_id", "wallet_account_id", "merchant_name", "invoice_contact_email",
-        *((*p.LEGACY_BANK_COLUMNS, *p.BANK_COLUMNS) if params.bank_details else ()),
-        *[time.alias(name) for name, time in p.local_times().items()],
-        "pickup_area", "dropoff_area", "driver_id", "driver_delivery_fee", "customer_delivery_fee",
-        promo_override(merchant, pattern, F.col("order_promo_code"), F.col("mart_promo_code")).alias("promo_code"),
-        promo_override(merchant, pattern, F.col("order_promo_expense"), F.col("mart_promo_expense")).alias("promo_expense"),
-        F.round(F.coalesce("pre_tax", "mart_sub_total"), 2).alias("order_value"),
-        F.round(F.coalesce("funded_discount", F.lit(0.0)), 2).alias("funded_discount"),
-        F.round(F.coalesce(discount, F.lit(0.0)), 2).alias("funded_discount_ex_tax"),
-        F.round(F.coalesce("tax_perc", "tax"), 2).alias("tax_perc"),
-        F.round(tax, 2).alias("tax_value"),
-        F.round("commission_rate", 2).alias("commission_rate"),
-        F.round(commission, 2).alias("commission_value"),
-        net_payable(pre_tax, tax, discount, commission).alias("net_payable"),
-        pay_status(auto).alias("pay_status"),
-        *[label.alias(name) for name, label in accept_labels(auto).items()],
-        "cancel_msg", "cancel_reason_enum", final_state().alias("final_state"),
-        *[flag.alias(name) for name, flag in pos_flags(params.codes).items()],
-        *(p.PAYOUT_COLUMNS if params.payout_details else ()),
+    labels, flags = accept_labels(auto), pos_flags(params.codes)
+    rows = p.settled(
+        rows, "customer_delivery_fee", *PROMO_SOURCES,
+        order_value=F.round(F.coalesce("pre_tax", "mart_sub_total"), 2),
+        funded_discount=F.round(F.coalesce("funded_discount", F.lit(0.0)), 2),
+        funded_discount_ex_tax=F.round(F.coalesce(discount, F.lit(0.0)), 2),
+        tax_perc=F.round(F.coalesce("tax_perc", "tax"), 2), tax_value=F.round(tax, 2),
+        commission_rate=F.round("commission_rate", 2), commission_value=F.round(commission, 2),
+        net_payable=net_payable(pre_tax, tax, discount, commission), pay_status=pay_status(auto),
+        final_state=final_state(), **labels, **flags,
+    ).where(auto_accept_filter(params.auto_accept))
+
+    payouts = p.own_payouts(tables, params, payout_filter(F.col("currency"), F.col("txtype")))
+    payouts = partition_between(payouts, params.start, params.end, 15, 15, YearMonthDay())
+    rows = enrich(rows, payouts, [(F.coalesce("last_booking_code", "order_id"), "orderid")], p.PAYOUT_COLUMNS)
+    rows = p.with_merchant(tables, rows, params.chains)
+    return rows.select(
+        "city_name", "country_name", "city_id", "country_id", "order_id", F.col("last_booking_code").alias("booking_code"),
+        "short_order_number", "merchant_account_id", "merchant_id", "wallet_account_id", "merchant_name",
+        "invoice_contact_email", *((*p.LEGACY_BANK_COLUMNS, *p.BANK_COLUMNS) if params.bank_details else ()),
+        *p.TIME_COLUMNS, "pickup_area", "dropoff_area", "driver_id", "driver_delivery_fee", "customer_delivery_fee",
+        *chosen_promo(params), "order_value", "funded_discount", "funded_discount_ex_tax", "tax_perc", "tax_value",
+        "commission_rate", "commission_value", "net_payable", "pay_status", *labels, "cancel_msg", "cancel_reason_enum",
+        "final_state", *flags, *(p.PAYOUT_COLUMNS if params.payout_details else ()),
     )
-    return report.where(auto_accept_filter(params.auto_accept))

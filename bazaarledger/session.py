@@ -21,6 +21,8 @@ RECOMMENDED = {
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # payment rows pass 100 fields, past which whole-stage code generation is off by default
+    "spark.sql.codegen.maxFields": "400",
 }
 
 

@@ -19,15 +19,27 @@ _MERCHANT_INFO = (
 )
 SUB_MERCHANT = f"STRUCT<merchantID: STRING, subFoodQuoteInMin: {_QUOTE}, merchantInfoObj: {_MERCHANT_INFO}>"
 
-ORDER_DOCUMENT = (
-    "newTaxFlow STRING, deliveryOption STRING, currency STRUCT<exponent: STRING>,"
-    " cartWithQuote STRUCT<"
-    "discounts: ARRAY<STRUCT<mexFundedAmountInMin: STRING, mexFundedAmountExcludeTaxInMin: STRING>>,"
-    " promoCodes: ARRAY<STRUCT<promoCode: STRING, promoAmountInMin: STRING>>,"
-    f" foodQuoteInMin: {_QUOTE},"
-    " totalQuoteInMin: STRUCT<mexCommission: STRING, gkCommission: STRING>,"
-    f" merchantCartWithQuoteList: ARRAY<STRUCT<merchantInfoObj: {_MERCHANT_INFO}, subMerchants: ARRAY<{SUB_MERCHANT}>>>"
-    ">"
+
+def order_document(with_sub_merchants: bool) -> str:
+    """Order snapshot document. Sub-merchants are the bulk of the text: leave them to the parser's skip when unused."""
+    subs = f", subMerchants: ARRAY<{SUB_MERCHANT}>" if with_sub_merchants else ""
+    return (
+        "newTaxFlow STRING, deliveryOption STRING, currency STRUCT<exponent: STRING>,"
+        " cartWithQuote STRUCT<"
+        "discounts: ARRAY<STRUCT<mexFundedAmountInMin: STRING, mexFundedAmountExcludeTaxInMin: STRING>>,"
+        " promoCodes: ARRAY<STRUCT<promoCode: STRING, promoAmountInMin: STRING>>,"
+        f" foodQuoteInMin: {_QUOTE},"
+        " totalQuoteInMin: STRUCT<mexCommission: STRING, gkCommission: STRING>,"
+        f" merchantCartWithQuoteList: ARRAY<STRUCT<merchantInfoObj: {_MERCHANT_INFO}{subs}>>"
+        ">"
+    )
+
+
+ORDER_DOCUMENT = order_document(with_sub_merchants=True)
+ORDER_DOCUMENT_WHOLE = order_document(with_sub_merchants=False)
+EARLY_ORDER_DOCUMENT = (
+    "newTaxFlow STRING, cartWithQuote STRUCT<foodQuoteInMin: STRUCT<priceInMinorUnit: STRING, inclTaxInMin: STRING>,"
+    " totalQuoteInMin: STRUCT<mexCommission: STRING>>"
 )
 ORDER_METADATA = "partnerOrderSubmitTime STRING, qsrCode STRING, FPTAcceptedBy STRING, payMerchant STRING"
 CASHIER_DRIVER_METADATA = "daxDeliveryFee STRING, promotion STRING"

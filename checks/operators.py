@@ -35,6 +35,7 @@ from bazaarledger.plans import payments as p
 from bazaarledger.plans import ratings_report
 from bazaarledger.plans.params import RatingsParams
 from bazaarledger.session import prepare
+from bazaarledger.sources.documents import ORDER_DOCUMENT
 from bazaarledger.sources.logs import log_events
 from bazaarledger.sources.partitions import CompactDate, DateText, YearMonthDay, partition_between
 from bazaarledger.sources.tables import Tables, union_tables
@@ -709,7 +710,7 @@ select order_id, case when o_orderkey % 2 = 0 then (price_c - tax_c) / 100 else
   o_custkey % 5 in (0, 1) as pays_out, case when contains(short_order_number, '7') then 'order' else 'mart' end as promo_source from ord
 """)
 def order_values_commissions_net(t: Source) -> DataFrame:
-    doc = F.from_json("snapshot_detail", p.ORDER_DOCUMENT)
+    doc = F.from_json("snapshot_detail", ORDER_DOCUMENT)
     rows = t.market["order_snapshot"].withColumn("doc", doc)
     info, quote = p.merchant_info(), p.quote()
     pre_tax, tax = payment_rules.quoted_pre_tax(quote), sc.number_or_zero(quote["inclTaxInMin"]) / 100
