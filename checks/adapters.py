@@ -16,6 +16,8 @@ from bazaarledger.sources.tables import Tables
 
 CODES = Codes(promo_name_pattern="7")
 
+FACTS = ("orders", "lineitem", "events")
+
 # Fixed lists, by key
 ZONES = ("Asia/Singapore", "Asia/Jakarta", "Asia/Bangkok", "Asia/Manila", "America/New_York")
 CURRENCIES = ("SGD", "MYR", "THB", "PHP", "VND")
@@ -110,7 +112,12 @@ class Adapters:
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            # A one-split file would build all its JSON in one task. Files with a split per core are left alone.
+            if name in FACTS and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            self._read[name] = df
         return self._read[name]
 
     def _order_lines(self) -> DataFrame:
