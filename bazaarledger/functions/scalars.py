@@ -69,10 +69,6 @@ def text_guard(text: Column) -> Column:
     return F.concat(F.lit(TEXT_GUARD), text)
 
 
-def blank_if_null(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
-
-
 def typed_null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 

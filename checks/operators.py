@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaarledger.functions import order_rules, payment_rules, report_rules
 from bazaarledger.functions import scalars as sc
-from bazaarledger.functions.dates import Grain, between_days, clamped_bucket, compact_date
+from bazaarledger.functions.dates import Grain, between_days, compact_date
 from bazaarledger.functions.predicates import any_of, contains_ci, not_in_null_safe, one_of, optional
 from bazaarledger.operators.aggregates import (
     bucket_agg,

@@ -123,8 +123,6 @@ def test_promo_report_truncates_and_fans_out(make):
 
 
 def test_pnl_overlapping_rates_multiply(make, spark):
-    from bazaarledger.plans.pnl import pnl_measures  # noqa: F401
-
     names = ["gmv_usd", "basket_size", "sub_total", "delivery_fare", "driver_delivery_fare", "merchant_commission", "driver_commission",
              "incentives_usd", "spot_incentive_bonus_usd", "subsidy_usd", "total_partner_base_for_merchant_commission", "total_promo_spend_usd",
              "total_platform_promo_spend_usd", "total_discount_usd", "total_campaign_merchant_promo_spend_usd", "code_merchant_promo_spend_usd",
