@@ -31,9 +31,8 @@ def _winner() -> Column:
 def heavy_groups(table: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(digest, best, group_size) of the digests that Misra-Gries counters name and a count verifies to hold over the share."""
     named = table.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest")).distinct()
-    total = table.agg(F.count("*").alias("total"))
     counted = table.join(F.broadcast(named), "digest").groupBy("digest").agg(_winner().alias("best"), F.count("*").alias("group_size"))
-    return stored(counted.join(F.broadcast(total), F.col("group_size") > F.col("total") * support).drop("total"))
+    return stored(counted.where(F.col("group_size") > support * table.count()))
 
 
 def copy_groups(df: DataFrame, text: str = "text", id: str = "doc_id", support: float = SUPPORT) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarledger.llm import packing, piece_bpe
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
 from bazaarledger.llm.substring_dedup import remove_repeats
 from bazaarledger.llm.weighted_minhash import near_duplicates
@@ -22,6 +24,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    return piece_bpe.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
@@ -32,7 +42,12 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op5_substring": op5_substring, "op6_exact": op6_exact}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>", end_id=2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing}
 
 ORACLES: dict[str, str] = {
     "op6_exact": """
