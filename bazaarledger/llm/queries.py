@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarledger.llm import packing, piece_bpe
+from bazaarledger.llm import packing, piece_bpe, toxicity
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
 from bazaarledger.llm.substring_dedup import remove_repeats
 from bazaarledger.llm.weighted_minhash import near_duplicates
@@ -47,7 +47,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing}
+def held_out(id: str = "doc_id") -> Column:
+    """Documents whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on_labels(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity}
 
 ORACLES: dict[str, str] = {
     "op6_exact": """
