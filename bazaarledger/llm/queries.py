@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarledger.llm import packing, piece_bpe, toxicity
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
+from bazaarledger.llm.robust_outliers import quality_verdicts
 from bazaarledger.llm.substring_dedup import remove_repeats
 from bazaarledger.llm.weighted_minhash import near_duplicates
 
@@ -59,7 +60,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity}
+def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 3))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
 
 ORACLES: dict[str, str] = {
     "op6_exact": """

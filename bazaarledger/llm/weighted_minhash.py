@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarledger.llm import words as W
@@ -31,6 +31,9 @@ SKETCH_SLICE = 1 << 15
 #: Share of a shingle's weight that its IDF decides; the rest is the same for all shingles.
 IDF_SHARE = 0.25
 
+#: Bits of the filter that keeps texts without candidates out of the shuffle.
+FILTER_BITS = 1 << 26
+
 _DRAWS = np.random.default_rng(7)
 _STEPS = 1 << 14
 _RATE = _DRAWS.gamma(2.0, 1.0, _STEPS).astype(np.float32)
@@ -217,6 +220,22 @@ def classes(links: DataFrame) -> DataFrame:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+
+
+def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose node may be wanted: all that are, and few others while the filter of FILTER_BITS bits is sparse.
+
+    The filter is a table of bitmaps, FILTER_BITS / 8 bytes at most whatever the input, so it is broadcast.
+    """
+    bucket, position = F.bitmap_bucket_number(_slot()), F.bitmap_bit_position(_slot())
+    bitmaps = F.broadcast(wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap")))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = texts.withColumns({"bucket": bucket, "position": position}).join(bitmaps, "bucket")
+    return placed.where(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): texts (16-byte digests) that have a near duplicate, and the label of their class."""
     texts = df.select(digest(text).alias("node"), F.coalesce(text, F.lit("")).alias("body"))
@@ -226,8 +245,8 @@ def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE,
     ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     pairs = banded.join(ends, "band").select("node", F.explode(F.array("first", "last")).alias("other")).where("node != other")
     pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    bodies = stored(prefiltered(texts, wanted).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")))
     compared = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
     return classes(similarities(compared, weights, size).where(F.col("similarity") >= similarity).select("a", "b"))
 
