@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarledger.llm import packing, piece_bpe, toxicity
+from bazaarledger.llm import histogram_sharding, packing, piece_bpe, toxicity
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
 from bazaarledger.llm.robust_outliers import quality_verdicts
 from bazaarledger.llm.substring_dedup import remove_repeats
@@ -21,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = docs.select("doc_id", F.sha2("text", 256).alias("text"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return histogram_sharding.shard(digests, 16, "size").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +73,7 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
 
 ORACLES: dict[str, str] = {
     "op6_exact": """
