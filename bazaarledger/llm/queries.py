@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarledger.llm import histogram_sharding, packing, piece_bpe, toxicity
+from bazaarledger.llm import histogram_sharding, license_scan, packing, piece_bpe, token_rollup, toxicity
+from bazaarledger.llm.frames import digest, shared_folder, stored
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
 from bazaarledger.llm.robust_outliers import quality_verdicts
 from bazaarledger.llm.substring_dedup import remove_repeats
@@ -42,6 +44,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
@@ -57,6 +63,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, withdraw those of equal text with a larger doc_id elsewhere, count an end token for the rest, and replay a batch."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    named = docs.select("*", digest("text").alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = token_rollup.count_tokens(named, public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>").drop("text")
+    both = F.explode(F.array(F.struct(F.lit("word_bpe_49k").alias("tokenizer"), F.col("n_tokens")), F.struct(F.lit("utf8_bytes").alias("tokenizer"), F.col("n_bytes").alias("n_tokens"))))
+    counts = stored(counted.select("doc_id", "digest", "source", "lang", both.alias("count")).select("*", "count.*").drop("count"))
+    last = counts.groupBy("digest").agg(F.max("doc_id").alias("last_id"))
+    copies = counts.join(last, "digest").where("doc_id < last_id")
+    kept = counts.join(last, "digest").where("doc_id = last_id AND tokenizer = 'word_bpe_49k'")
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", token_rollup.inserted(counts))
+    rollup.commit("withdraw", token_rollup.deleted(copies))
+    rollup.commit("revise", token_rollup.revised(kept.withColumns({"n_before": F.col("n_tokens"), "n_after": F.col("n_tokens") + 1})))
+    rollup.commit("withdraw", token_rollup.deleted(copies))
+    return rollup.totals()
+
+
 def held_out(id: str = "doc_id") -> Column:
     """Documents whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
@@ -73,9 +97,10 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_licenses": op4_licenses, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
 
 ORACLES: dict[str, str] = {
+    "op4_licenses": license_scan.oracle_sql(),
     "op6_exact": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
                sha256(coalesce(text, '')) AS text_sha256
