@@ -125,7 +125,7 @@ class PieceModel:
 
     def _merge(self, symbols: np.ndarray, owner: np.ndarray, n: int, several: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merge rounds. Parts without a pair left move to the results at once, so later rounds hold only what still changes."""
-        doubtful = np.zeros(n, dtype=bool)
+        symbols, doubtful = symbols.copy(), np.zeros(n, dtype=bool)
         done_symbols, done_owner = [], []
         worst = np.full(n, -1, dtype=np.int64)  # the rank merged last, where more than one pair was merged at once
         rank, new = np.full(len(symbols), _NO_RANK), np.zeros(len(symbols), dtype=np.int64)
