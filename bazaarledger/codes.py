@@ -33,7 +33,6 @@ ADJUSTMENT_MARK = "ADJUSTMENT"
 OUT_OF_STOCK_MESSAGE = "Food is out of stock"
 TICKET_PREFIX = "zendesk:"
 TEXT_GUARD = "`"
-NO_SUB_MERCHANTS = "No Sub Merchants"
 # ---------------------------------------------------------------------------------------------------------------
 
 
@@ -56,11 +55,11 @@ class Codes:
     case_payout_target: str = "PAX_WALLET"
     case_source_label: str = "Case"
     request_source_label: str = "Request"
-    accept_log: str = "food-max-api"
-    accept_operation: str = "max.track.auto.accept.order"
+    accept_log: str = "order-log"
+    accept_operation: str = "order.auto.accept"
     accept_label: str = "AA Order"
-    pos_partner: str = "mcd"
-    promo_name_pattern: str = "domino"
+    pos_partner: str = "pos-a"
+    promo_name_pattern: str = "brand"
     cashout_success: str = "CASHOUT_SUCCESS"
     settlement_started: str = "SETTLE_INITIATED"
     settlement_done: str = "SETTLED"

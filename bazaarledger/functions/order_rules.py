@@ -77,14 +77,22 @@ def _accepted() -> Column:
     return F.coalesce("pre_accepted_time", "ord_order_in_prepare_time").isNotNull()
 
 
-def _flagged(meta: str) -> Column:
-    return F.coalesce(c(f"{meta}.FPTAcceptedBy") == AUTO_ACCEPT_FLAG, F.lit(False))
+def metadata_fields(meta: Column) -> dict[str, Column]:
+    """The values of a parsed metadata document that the rules read, as flat columns."""
+    return {
+        "accepted_by": meta["FPTAcceptedBy"], "pos_code": meta["qsrCode"],
+        "partner_submit_time": meta["partnerOrderSubmitTime"], "pay_merchant": meta["payMerchant"],
+    }
+
+
+def _flagged() -> Column:
+    return F.coalesce(c("accepted_by") == AUTO_ACCEPT_FLAG, F.lit(False))
 
 
-def accept_labels(auto: Column, meta: str = "meta") -> dict[str, Column]:
+def accept_labels(auto: Column) -> dict[str, Column]:
     """Acceptance labels. Orders with metadata count as automatic only by flag or `auto`; without, accepted = manual."""
-    documented = c("metadata") != ""
-    automatic = _flagged(meta) | auto
+    documented = c("has_metadata")
+    automatic = _flagged() | auto
     return {
         "merchant_accept": F.when(_accepted(), "mex_auto_accept"),
         "merchant_auto_accept": F.when(documented, F.when(automatic, "auto-accept")).when(_accepted(), "manual-accept"),
@@ -93,22 +101,22 @@ def accept_labels(auto: Column, meta: str = "meta") -> dict[str, Column]:
     }
 
 
-def accept_labels_v1(logged: Column, meta: str = "meta") -> dict[str, Column]:
+def accept_labels_v1(logged: Column) -> dict[str, Column]:
     return {
-        "merchant_auto_accept": F.when(_flagged(meta) | logged, "auto-accept"),
+        "merchant_auto_accept": F.when(_flagged() | logged, "auto-accept"),
         "merchant_auto_accept_status": F.when(logged, "mex_auto_accept"),
     }
 
 
-def pos_flags(codes: Codes, meta: str = "meta", with_payer: bool = True) -> dict[str, Column]:
+def pos_flags(codes: Codes, with_payer: bool = True) -> dict[str, Column]:
     """Point-of-sale integration read from the metadata document."""
     flags = {
-        "pos_flag": F.when(c(f"{meta}.qsrCode") == codes.pos_partner, "QSR POS Integrated"),
-        "pos_integration_type": c(f"{meta}.qsrCode"),
-        "pos_is_submitted": c(f"{meta}.partnerOrderSubmitTime").isNotNull().cast("int"),
+        "pos_flag": F.when(c("pos_code") == codes.pos_partner, "QSR POS Integrated"),
+        "pos_integration_type": c("pos_code"),
+        "pos_is_submitted": c("partner_submit_time").isNotNull().cast("int"),
     }
     if with_payer:
-        flags["pos_pay_merchant"] = c(f"{meta}.payMerchant").isNotNull().cast("int")
+        flags["pos_pay_merchant"] = c("pay_merchant").isNotNull().cast("int")
     return flags
 
 

@@ -119,5 +119,5 @@ def cod_metrics() -> dict[str, Column]:
 def recon_labels(flag: Column, in_dashboard: Column, in_orders: Column) -> dict[str, Column]:
     return {
         "indicator": F.when(in_dashboard, flag).otherwise("Not flagged in dashboard"),
-        "indicator_2": F.when(in_orders, "In PFO").otherwise("Not in PFO"),
+        "indicator_2": F.when(in_orders, "In orders").otherwise("Not in orders"),
     }

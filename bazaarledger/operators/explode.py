@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def parse_once(df: DataFrame, keep: Sequence[str], documents: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The `keep` columns and each text column parsed: documents maps a new name to (text column, schema).
+
+    The parsed structs come out of a generator that gives one row per row: later filters and projections on their fields can't
+    be pushed into the scan as further parses of the same text.
+    """
+    parsed = F.struct(*[F.from_json(text, schema).alias(name) for name, (text, schema) in documents.items()])
+    return df.select(*keep, F.inline(F.array(parsed)))
+
+
 def explode_list(df: DataFrame, items: Column, name: str) -> DataFrame:
     """One row per element; NULL and empty lists drop the row."""
     return df.select("*", F.explode(items).alias(name))

@@ -94,15 +94,20 @@ def join_valid_by_day(
     take: Mapping[str, Key],
     closed: str = "both",
     how: str = "left",
+    instants: DataFrame | None = None,
 ) -> DataFrame:
     """`join_valid` for coarse instants (days): ranges are resolved once per distinct (keys, day).
 
     With few keys (countries) and many ranges each, testing every range per fact row is wasted work and the equi key is
-    hot. The distinct pass is pre-aggregated map-side; the fact join is then a plain equality on (keys, day).
+    hot. The distinct pass is pre-aggregated map-side; the fact join is then a plain equality on (keys, day). It evaluates df a
+    second time unless `instants` gives the keys and days of df (more do no harm) from a cheaper source, under the same names.
     """
     ours = [f"__our{i}" for i in range(len(on))]
     df = df.withColumns({**{name: _column(key) for name, (key, _) in zip(ours, on)}, "__at": _column(at)})
-    instants = df.select(*ours, "__at").distinct()
+    source = df if instants is None else instants.withColumns({
+        **{name: _column(key) for name, (key, _) in zip(ours, on)}, "__at": _column(at),
+    })
+    instants = source.select(*ours, "__at").distinct()
     in_force = join_valid(
         instants, ranges, [(name, theirs) for name, (_, theirs) in zip(ours, on)], "__at", start, end, take, closed, "inner"
     )

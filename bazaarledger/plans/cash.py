@@ -27,7 +27,7 @@ def driver_payments(tables: Tables, params: CashParams) -> DataFrame:
     ledger = ledger.where(
         (F.col("user_type") == CASHIER_DRIVER_USER)
         & between_days(F.to_date("created_at"), *widened(params.start, params.end, 1, 1))
-        & one_of(F.col("mex_id"), params.merchants)
+        & one_of(F.col("payee_id"), params.merchants)
         & one_of(F.col("currency"), params.currencies)
     )
     kind = F.col("tx_type")

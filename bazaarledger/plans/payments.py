@@ -1,7 +1,7 @@
 """Stages shared by the merchant payment reports.
 
-Shape: prune and parse the order snapshot once, keep flat columns only (JSON text never crosses a shuffle), then join by
-order id, by booking, and last by merchant. List totals are computed inside the row: the snapshot holds one row per
+Shape: prune the order snapshot by its stored columns, parse both its texts once at the scan, keep flat columns only (no text and
+no parsed document crosses a shuffle), then join by city, by order id, by booking, and last by merchant. List totals are computed inside the row: the snapshot holds one row per
 order, so they need neither an explode nor a join back to the order.
 """
 
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..codes import CASHIER_CURRENCIES, CASHIER_TX_MERCHANT, COMPLETED_STATE, INTEGRATED_ORDER_TYPE
 from ..functions.dates import between_days
+from ..functions.order_rules import metadata_fields
 from ..functions.predicates import by_mode, in_null_safe, not_in_null_safe, one_of
 from ..functions.scalars import iso_time, local_date, local_time, minor_to_major, number, number_or_zero, text_guard
 from ..operators.aggregates import sum_list
+from ..operators.explode import parse_once
 from ..operators.joins import enrich, semi_filter
 from ..sources.documents import CASHIER_MERCHANT_METADATA, ORDER_METADATA
 from ..sources.logs import log_events
@@ -32,8 +34,7 @@ TIMES = (
 )
 ORDER_COLUMNS = (
     "order_id", "last_booking_code", "short_order_number", "merchant_id", "city_id", "country_id", "order_type",
-    "order_state", "booking_state", "final_state", "cancel_code", "cancel_msg", "commission", "tax", "metadata",
-    "city_name", "country_code", "time_zone", *TIMES,
+    "order_state", "booking_state", "final_state", "cancel_code", "cancel_msg", "commission", "tax", *TIMES,
 )
 PAYOUT_COLUMNS = {
     "transaction_id": "txid", "payout_amount": "amount", "payout_refund_amount": "refundamount",
@@ -71,9 +72,19 @@ def first_promo() -> Column:
 
 
 def local_orders(
-    tables: Tables, params: EarlyPaymentParams | PaymentParams, delivered_slack_days: int, city_join: str = "left"
+    tables: Tables,
+    params: EarlyPaymentParams | PaymentParams,
+    document: str,
+    fields: Mapping[str, Column],
+    delivered_slack_days: int,
+    city_join: str = "left",
+    stored: Column | None = None,
+    wanted: Column | None = None,
 ) -> DataFrame:
-    """Integrated orders of the period in their own city's calendar, before any JSON is touched."""
+    """Integrated orders of the period in their own city's calendar, as flat columns.
+
+    `stored` tests columns of the snapshot, `wanted` fields of the parsed document.
+    """
     orders = partition_between(tables["order_snapshot"], params.start, params.end, 1, 1)
     orders = orders.where(
         (F.col("order_type") == INTEGRATED_ORDER_TYPE)
@@ -81,6 +92,9 @@ def local_orders(
         & one_of(F.col("city_id"), params.cities)
         & one_of(F.col("merchant_id"), params.merchants)
     )
+    if stored is not None:
+        orders = orders.where(stored)
+    orders = parsed_orders(orders, document, fields, wanted)
     orders = enrich(orders, tables["city"], [("city_id", "id")], {
         "city_name": "name", "country_code": "country_code", "time_zone": "time_zone",
     }, city_join)
@@ -121,14 +135,14 @@ def parsed_orders(
     orders: DataFrame, document: str, fields: Mapping[str, Column], wanted: Column | None = None
 ) -> DataFrame:
     """Parse both JSON columns once, apply document filters, keep flat columns."""
-    parsed = orders.select(
-        *ORDER_COLUMNS,
-        F.from_json("snapshot_detail", document).alias("doc"),
-        F.from_json("metadata", ORDER_METADATA).alias("meta"),
-    )
+    orders = orders.withColumn("has_metadata", F.col("metadata") != "")
+    parsed = parse_once(orders, [*ORDER_COLUMNS, "has_metadata"], {
+        "doc": ("snapshot_detail", document), "meta": ("metadata", ORDER_METADATA),
+    })
     if wanted is not None:
         parsed = parsed.where(wanted)
-    return parsed.select(*ORDER_COLUMNS, "meta", *[field.alias(name) for name, field in fields.items()])
+    flat = {**metadata_fields(F.col("meta")), **fields}
+    return parsed.select(*ORDER_COLUMNS, "has_metadata", *[field.alias(name) for name, field in flat.items()])
 
 
 def payment_orders(
@@ -139,12 +153,11 @@ def payment_orders(
     delivered_slack_days: int,
     city_join: str,
 ) -> DataFrame:
-    orders = local_orders(tables, params, delivered_slack_days, city_join)
-    orders = orders.where(one_of(F.col("order_id"), params.order_ids) & by_mode(params.completion, {
+    stored = one_of(F.col("order_id"), params.order_ids) & by_mode(params.completion, {
         Completion.COMPLETED_ONLY: lambda: F.col("order_state") == COMPLETED_STATE,
         Completion.EXCLUDE_COMPLETED: lambda: F.col("order_state") != COMPLETED_STATE,
-    }))
-    return parsed_orders(orders, document, fields, mode_filters(params))
+    })
+    return local_orders(tables, params, document, fields, delivered_slack_days, city_join, stored, mode_filters(params))
 
 
 def discount_fields() -> dict[str, Column]:
@@ -250,7 +263,7 @@ def local_times() -> dict[str, Column]:
     clock = {
         "order_create_time_local": F.col("created_time"),
         "order_allocated_time_local": F.col("del_last_picking_up_time"),
-        "pos_order_submit_time_local": iso_time(F.col("meta.partnerOrderSubmitTime")),
+        "pos_order_submit_time_local": iso_time(F.col("partner_submit_time")),
         "order_driver_at_store_time_local": F.col("del_first_driver_at_store_time"),
         "order_food_collected_time_local": F.col("del_food_collected_time"),
         "order_driver_arrive_customer_time_local": F.col("del_driver_arrived_time"),
@@ -298,13 +311,13 @@ def cashier_settlements(tables: Tables, params: PaymentParams) -> DataFrame:
     rows = partition_between(tables["cashier_payment"], params.start, params.start, 10, 10, YearMonthDay())
     rows = rows.where(
         F.col("currency").isin(list(CASHIER_CURRENCIES)) & (F.col("tx_type") == CASHIER_TX_MERCHANT)
-    ).select("order_id", "mex_id", F.from_json("metadata", CASHIER_MERCHANT_METADATA).alias("meta"))
+    ).select("order_id", "payee_id", F.from_json("metadata", CASHIER_MERCHANT_METADATA).alias("meta"))
 
     def paid(name: str) -> Column:
         return F.coalesce(minor_to_major(F.col(f"meta.{name}")), F.lit(0.0))
 
     return rows.select(
-        "order_id", "mex_id",
+        "order_id", "payee_id",
         minor_to_major(F.col("meta.netEarning")).alias("ledger_net"),
         minor_to_major(F.col("meta.orderValue")).alias("ledger_order_value"),
         paid("taxes").alias("ledger_tax"),

@@ -12,17 +12,16 @@ from ..functions.payment_rules import net_payable_v1, order_values, payout_filte
 from ..functions.scalars import minor_to_major, never_matching
 from ..operators.joins import enrich
 from ..sources.documents import EARLY_ORDER_DOCUMENT
+from ..functions.predicates import one_of
 from ..sources.tables import Tables
 from . import payments as p
 from .params import EarlyPaymentParams
 
 
 def early_payment_report(tables: Tables, params: EarlyPaymentParams) -> DataFrame:
-    orders = p.local_orders(tables, params, delivered_slack_days=1)
-    orders = orders.where(F.col("country_id").isin(list(params.fixed_countries)))
-    orders = p.parsed_orders(orders, EARLY_ORDER_DOCUMENT, {
+    orders = p.local_orders(tables, params, EARLY_ORDER_DOCUMENT, {
         **order_values(p.doc()), "merchant_commission": minor_to_major(p.cart()["totalQuoteInMin"]["mexCommission"]),
-    })
+    }, delivered_slack_days=1, stored=one_of(F.col("country_id"), params.fixed_countries))
 
     # the vertical test rejects orders without a booking
     mart = tables["booking_base"].where(
@@ -30,7 +29,7 @@ def early_payment_report(tables: Tables, params: EarlyPaymentParams) -> DataFram
     )
     rows = enrich(orders, mart, [("order_id", "order_id")], {
         "pickup_area": "pickup_area", "dropoff_area": "dropoff_area", "driver_id": "driver_id",
-        "driver_delivery_fee": "dax_fare", "customer_delivery_fee": "pax_fare", "promo_code": "promo_code",
+        "driver_delivery_fee": "driver_fare", "customer_delivery_fee": "customer_fare", "promo_code": "promo_code",
         "promo_amount": "promo_expense",
     }, "inner")
     rows = p.with_accept_log(tables, rows, params)

@@ -54,7 +54,7 @@ def single_payment_report(tables: Tables, params: PaymentParams) -> DataFrame:
     )
     rows = enrich(orders, mart, [("order_id", "order_id")], {
         "pickup_area": "pickup_area", "dropoff_area": "dropoff_area", "driver_id": "driver_id",
-        "driver_delivery_fee": "dax_fare", "customer_delivery_fee": "pax_fare", "mart_promo_code": "promo_code",
+        "driver_delivery_fee": "driver_fare", "customer_delivery_fee": "customer_fare", "mart_promo_code": "promo_code",
         "mart_promo_expense": "promo_expense", "mart_sub_total": "food_sub_total",
     }, "inner")
     rows = p.with_accept_log(tables, rows, params)

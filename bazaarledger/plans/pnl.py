@@ -61,6 +61,9 @@ def pnl_measures() -> dict[str, Column]:
 
 def pnl_report(tables: Tables, params: PnlParams) -> DataFrame:
     rows = tables["pnl_base"].where(between_days(F.col("partition_date_local"), params.start, params.end))
+    # countries and days of the fact, two columns of it, before any lookup or filter
+    instants = rows.select("country_name", F.to_date("date_local").alias("day")).distinct()
+    instants = enrich(instants, tables["country"], [("country_name", "name")], {"country_id": "id"})
     rows = enrich(rows, tables["merchant_dim"], [("merchant_id", "merchant_id")], {
         "known_merchant_id": "merchant_id", "merchant_name": "merchant_name", "business_name": "business_name",
         "vertical": "vertical", "business_type_name": "business_type_name", "am_name": "am_name",
@@ -76,7 +79,7 @@ def pnl_report(tables: Tables, params: PnlParams) -> DataFrame:
     rows = rows.withColumn("day", F.to_date("date_local"))
     rows = join_valid_by_day(
         rows, tables["fx_rate"], [("country_id", "country_id")], "day", F.to_date("start_date"), F.to_date("end_date"),
-        {"exchange_one_usd": "exchange_one_usd"},
+        {"exchange_one_usd": "exchange_one_usd"}, instants=instants,
     )
 
     merchant = params.dimension is Dimension.MERCHANT

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import between_days
 from ..functions.predicates import one_of, optional
 from ..functions.report_rules import recon_labels
-from ..functions.scalars import minor_to_major_whole
+from ..functions.scalars import minor_to_major_whole, never_matching
+from ..operators.explode import parse_once
 from ..operators.joins import enrich, reconcile
 from ..sources.partitions import partition_between
 from ..sources.tables import Tables, union_tables
@@ -40,22 +41,20 @@ def promo_orders(tables: Tables, params: PromoParams) -> DataFrame:
         & one_of(F.col("city_id"), params.cities)
         & one_of(F.col("country_id"), params.countries)
     )
-    orders = enrich(
-        orders, promo_list(tables, params), [(F.col("reward_id").cast("string"), F.trim("reward_id"))], {}, "inner"
-    )
+    kept = ("order_id", "short_order_number", "last_booking_code", "order_state", "booking_state", "merchant_id", "created_time")
+    parsed = parse_once(orders, [*kept, "reward_id"], {"doc": ("snapshot_detail", _PROMO_DOCUMENT)})
     cart = F.col("doc.cartWithQuote")
     first, quote = F.get(cart["promoCodes"], F.lit(0)), cart["foodQuoteInMin"]
-    parsed = orders.select(
-        "order_id", "short_order_number", "last_booking_code", "order_state", "booking_state", "merchant_id", "created_time",
-        F.from_json("snapshot_detail", _PROMO_DOCUMENT).alias("doc"),
-    ).where(cart["promoCodes"].isNotNull())
-    return parsed.withColumns({
+    flat = parsed.where(cart["promoCodes"].isNotNull()).withColumns({
         "promo_code": first["promoCode"],
         "total_promo_code_expense": minor_to_major_whole(first["promoAmountInMin"]),
         "total_basket_size": minor_to_major_whole(
             quote["reducedPriceInMinorUnit"].try_cast("bigint") + quote["promoAmountInMinorUnit"].try_cast("bigint")
         ),
     }).drop("doc")
+    return enrich(
+        flat, promo_list(tables, params), [(F.col("reward_id").cast("string"), F.trim("reward_id"))], {}, "inner"
+    ).drop("reward_id")
 
 
 def promo_report(tables: Tables, params: PromoParams) -> DataFrame:
@@ -64,7 +63,7 @@ def promo_report(tables: Tables, params: PromoParams) -> DataFrame:
     `keep_unmatched` filters the dashboard first and keeps them.
     """
     dashboard = tables["promo_order"].select(
-        "order_id", "country_name", "city_name", F.col("mex_promo_spend").alias("merchant_promo_code_spend"), "product_flag",
+        "order_id", "country_name", "city_name", F.col("merchant_promo_spend").alias("merchant_promo_code_spend"), "product_flag",
         F.to_date("date_local").alias("__day"), F.col("city_id").alias("__city"), F.col("country_id").alias("__country"),
         F.col("reward_id").cast("string").alias("__reward"),
     )
@@ -79,7 +78,9 @@ def promo_report(tables: Tables, params: PromoParams) -> DataFrame:
         rows = reconcile(orders, dashboard.where(wanted), "order_id")
     else:
         rows = reconcile(orders, dashboard, "order_id").where(wanted)
-    rows = enrich(rows, tables["merchant_dim"], [("merchant_id", "merchant_id")], {"business_name": "business_name"})
+    # orders found only in the dashboard have no merchant: spread their NULL key
+    merchant = never_matching(F.col("merchant_id"), F.coalesce("order_id", "right_order_id"))
+    rows = enrich(rows, tables["merchant_dim"], [(merchant, "merchant_id")], {"business_name": "business_name"})
     labels = recon_labels(F.col("product_flag"), F.col("in_right"), F.col("in_left"))
     return rows.withColumns(labels).select(
         "country_name", "city_name", "order_id", "short_order_number", "last_booking_code", "order_state", "booking_state",

@@ -24,14 +24,14 @@ from ..functions.scalars import (
 )
 from ..operators.aggregates import customer_history, pivot_max
 from ..operators.explode import explode_keep_empty, explode_list
-from ..operators.joins import enrich, exists_any
+from ..operators.joins import enrich, exists_any, semi_filter
 from ..sources.documents import CASE_POLICY_STATE, CASE_TICKET_STATE, REFUND_ITEMS
 from ..sources.partitions import CompactDate, YearMonthDay, partition_between
 from ..sources.tables import Tables
 from .params import RefundGrain, RefundParams, RefundSource
 
 ORDER_COLUMNS = (
-    "order_id", "pax_id", "last_booking_code", "created_time", "short_order_number", "merchant_id", "booking_state",
+    "order_id", "buyer_id", "last_booking_code", "created_time", "short_order_number", "merchant_id", "booking_state",
     "final_state", "order_state", "pre_accepted_time", "ord_order_in_prepare_time", "pre_expired_time",
     "pre_cancelled_time", "ord_completed_time", "city_id",
 )
@@ -170,14 +170,17 @@ def case_items(tables: Tables, params: RefundParams) -> DataFrame:
     """One row per refunded item of an automated case. Cases without a policy state drop out."""
     codes = params.codes
     states = tables["case_state"].where(between_days(F.to_date("created_at"), params.start, params.end))
+    cases = tables["case"].where(
+        (F.col("category") == codes.case_category) & between_days(F.to_date("created_at"), params.start, params.end)
+    )
+    # only the two states that are read, of the wanted cases, before any document is grouped
+    states = states.where(F.col("state").isin(codes.case_ticket_state, codes.case_policy_state))
+    states = semi_filter(states, cases, [("case_id", "id")])
     clean = decode_nested_json(F.col("state_data"))
     issue = F.from_json(clean, CASE_TICKET_STATE)["stateData"]["Issue"]
     states = pivot_max(states, "case_id", "state", {
         "issue_type": (codes.case_ticket_state, issue), "policy": (codes.case_policy_state, clean),
     })
-    cases = tables["case"].where(
-        (F.col("category") == codes.case_category) & between_days(F.to_date("created_at"), params.start, params.end)
-    )
     rows = enrich(cases, main_countries(tables), [("region", "code")], {"country_id": "id"})
     rows = rows.where(one_of(F.col("country_id"), params.countries))
     rows = enrich(rows, states, [("id", "case_id")], {"issue_type": "issue_type", "policy": "policy"})
@@ -201,7 +204,7 @@ def case_items(tables: Tables, params: RefundParams) -> DataFrame:
 
 # Reports
 ITEM_COLUMNS = (
-    "pax_id", "passenger_name", "booking_code", "first_transaction_time", "last_transaction_time", "ledger_entries",
+    "buyer_id", "passenger_name", "booking_code", "first_transaction_time", "last_transaction_time", "ledger_entries",
     "order_id", "short_order_id", "merchant_id", "merchant_name", "chain_name", "chain_number", "refund_created_time",
     "booking_amount", "refund_amount", "account_balance", "refund_status", "source_of_refund", "item_name", "item_id",
     "item_price", "item_quantity", "total_price", "total_refund_per_item", "source_refund_amount", "customer_paid_amount",
@@ -223,7 +226,7 @@ def _with_tickets(tables: Tables, rows: DataFrame, params: RefundParams, ticket:
 
 def request_report(tables: Tables, params: RefundParams) -> DataFrame:
     rows = enrich(request_items(tables, params), order_facts(tables, params), [("request_order_id", "order_id")], {
-        name: name for name in ORDER_COLUMNS if name not in ("order_id", "pax_id")
+        name: name for name in ORDER_COLUMNS if name not in ("order_id", "buyer_id")
     })
     booking = never_matching(F.col("last_booking_code"), F.col("refund_id"))
     rows = enrich(rows, ledger_refunds(tables, params), [(booking, "booking_code")], LEDGER_TAKE)
@@ -234,7 +237,7 @@ def request_report(tables: Tables, params: RefundParams) -> DataFrame:
     return rows.withColumns({
         **order_times(),
         **ledger_columns(),
-        "pax_id": F.col("passenger_id"),
+        "buyer_id": F.col("passenger_id"),
         "booking_code": F.col("last_booking_code"),
         "order_id": F.col("request_order_id"),
         "short_order_id": F.col("short_order_number"),
@@ -251,7 +254,7 @@ def request_report(tables: Tables, params: RefundParams) -> DataFrame:
 def case_report(tables: Tables, params: RefundParams) -> DataFrame:
     cases = case_items(tables, params).withColumnRenamed("booking_code", "case_booking")
     rows = enrich(cases, order_facts(tables, params), [("case_booking", "last_booking_code")], {
-        name: name for name in ORDER_COLUMNS if name != "pax_id"
+        name: name for name in ORDER_COLUMNS if name != "buyer_id"
     })
     rows = enrich(rows, ledger_refunds(tables, params), [("case_booking", "booking_code")], LEDGER_TAKE)
     rows = rows.withColumnRenamed("zendesk_ticket_id", "case_ticket")
@@ -262,7 +265,7 @@ def case_report(tables: Tables, params: RefundParams) -> DataFrame:
     return rows.withColumns({
         **order_times(),
         **ledger_columns(),
-        "pax_id": F.col("passenger_id"),
+        "buyer_id": F.col("passenger_id"),
         "booking_code": F.col("last_booking_code"),
         "short_order_id": F.col("short_order_number"),
         "refund_created_time": local_time(F.col("case_created_at"), F.col("time_zone")),
@@ -316,7 +319,7 @@ def order_report(tables: Tables, params: RefundParams) -> DataFrame:
     rows = enrich(rows, support_tickets(tables, params), [(booking, "booking_code")], {
         "zendesk_ticket_id": "id", "zendesk_disposition": "disposition",
     })
-    rows = enrich(rows, tables["customer_dim"], [("pax_id", "id")], {"passenger_name": "name"})
+    rows = enrich(rows, tables["customer_dim"], [("buyer_id", "id")], {"passenger_name": "name"})
     rows = enrich(rows, tables["merchant"], [("merchant_id", "merchant_id")], MERCHANT_TAKE)
     rows = enrich(rows, tables["city"], [("city_id", "id")], {"time_zone": "time_zone"})
     return rows.withColumns({
@@ -327,7 +330,7 @@ def order_report(tables: Tables, params: RefundParams) -> DataFrame:
         "source_of_refund": refund_source(labels),
         "captured_refund_amount": captured_amount(amounts),
     }).select(
-        "pax_id", "passenger_name", "booking_code", "first_transaction_time", "last_transaction_time", "ledger_entries",
+        "buyer_id", "passenger_name", "booking_code", "first_transaction_time", "last_transaction_time", "ledger_entries",
         "booking_amount", "refund_amount", "account_balance", "refund_status", "source_of_refund",
         "captured_refund_amount", "order_id", "short_order_id", "merchant_id", "merchant_name", "chain_name",
         "chain_number", *TIME_COLUMNS, *TICKET_COLUMNS,
@@ -338,7 +341,7 @@ def with_history(tables: Tables, rows: DataFrame, params: RefundParams) -> DataF
     history = customer_history(
         tables["booking_base"], params.history_start, params.history_end, params.countries, params.cities
     )
-    return enrich(rows, history, [("pax_id", "passenger_id")], {name: name for name in HISTORY_COLUMNS})
+    return enrich(rows, history, [("buyer_id", "passenger_id")], {name: name for name in HISTORY_COLUMNS})
 
 
 def refund_report(tables: Tables, params: RefundParams) -> DataFrame:

@@ -9,7 +9,7 @@ from ..codes import EARLY_PAYMENT_COUNTRIES, MAIN_COUNTRY_MAX_ID, SETTLEMENT_TX_
 from ..functions.dates import between_days
 from ..functions.predicates import any_of, is_set, one_of
 from ..functions.report_rules import adjustment_amount, adjustment_indicator, adjustment_route, cashout_status
-from ..functions.scalars import local_date, shift_hours, text_guard, typed_null
+from ..functions.scalars import local_date, never_matching, shift_hours, text_guard, typed_null
 from ..operators.aggregates import net_amount
 from ..operators.joins import enrich, semi_filter
 from ..sources.partitions import YearMonthDay, partition_between
@@ -89,7 +89,6 @@ def order_keys(tables: Tables, params: SettlementParams) -> DataFrame:
     orders = orders.where(between_days(F.col("order_create_date_local"), *widened(params.start, params.end, days, days)))
     orders = enrich(orders, tables["country"], [("city_country", "id")], {"iso_currency": "iso_currency"})
     orders = orders.where(one_of(F.col("iso_currency"), params.currencies))
-    orders = enrich(orders, tables["seller"], [("merchant_id", "id")], {"seller_name": "name"})
     if _searching(params):
         orders = enrich(orders, tables["merchant_dim"], [("merchant_id", "merchant_id")], {
             "known_merchant_id": "merchant_id", "merchant_name": "merchant_name", "business_name": "business_name",
@@ -103,7 +102,7 @@ def order_keys(tables: Tables, params: SettlementParams) -> DataFrame:
 
     booking_or_order = F.coalesce("last_booking_code", "order_id")
     return orders.select(
-        "order_id", "short_order_number", "order_create_date_local", "seller_name", "merchant_id",
+        "order_id", "short_order_number", "order_create_date_local", "merchant_id",
         F.explode(F.array(keyed("plain", booking_or_order), keyed("adjusted", F.col("order_id")))).alias("match"),
     )
 
@@ -146,9 +145,11 @@ def transaction_rows(tables: Tables, params: SettlementParams) -> DataFrame:
     }, "inner")
     rows = enrich(rows, order_keys(tables, params), [("orderid", "match.key"), ("route", "match.route")], {
         "order_id": "order_id", "short_order_number": "short_order_number",
-        "order_create_date_local": "order_create_date_local", "order_merchant_name": "seller_name",
-        "order_merchant_id": "merchant_id",
+        "order_create_date_local": "order_create_date_local", "order_merchant_id": "merchant_id",
     })
+    # sellers are looked up for matched rows only; transactions without an order have no merchant: spread their NULL key
+    merchant = never_matching(F.col("order_merchant_id"), F.col("id"))
+    rows = enrich(rows, tables["seller"], [(merchant, "id")], {"order_merchant_name": "name"})
     rows = _with_store(tables, rows)
     status = cashout_status(F.col("cashed_out"), F.col("settled_amount"), F.col("status"), codes.cashout_success)
     return rows.withColumns({

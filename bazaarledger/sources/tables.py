@@ -42,4 +42,7 @@ class Tables:
 
 def union_tables(tables: Tables, names: Iterable[str]) -> DataFrame:
     """Stack same-shaped tables (one per region) by column name."""
+    names = list(names)
+    if not names:
+        raise ValueError("no tables to stack: name at least one (regions must not be empty)")
     return reduce(DataFrame.unionByName, [tables[name] for name in names])

@@ -1,7 +1,6 @@
 """Report input tables derived inside Spark from the driver's star-schema tables.
 
-Every table keeps all rows of its source except where a row is left out by a property of the row, to leave unmatched keys
-for the outer joins. JSON columns are built from columns, so report oracles can be written without JSON.
+Every table keeps all rows of its source. Keys that must find nothing, for the outer joins, are blanked by a property of the row. JSON columns are built from columns, so report oracles can be written without JSON.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from bazaarledger.sources.tables import Tables
 
 CODES = Codes(promo_name_pattern="7")
 
-FACTS = ("orders", "lineitem", "events")
+#: Facts are dealt by the key their JSON lists and joins are built on; the later grouping and joining reuse it.
+FACTS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
 
 # Fixed lists, by key
 ZONES = ("Asia/Singapore", "Asia/Jakarta", "Asia/Bangkok", "Asia/Manila", "America/New_York")
@@ -76,7 +76,7 @@ DOCUMENT = """to_json(named_struct(
                 'taxRate', if(o_orderkey % 5 = 0, null, '0.0625'),
                 'specialMerchantType', case m_key % 4 when 0 then 'KITCHENMIXMATCH' when 1 then 'KITCHENNORMAL' end,
                 'merchantClusterID', if(m_key % 4 = 0, concat('C', m_key % 25), null),
-                'qsrCode', if(o_orderkey % 7 = 0, 'mcd', null),
+                'qsrCode', if(o_orderkey % 7 = 0, 'pos-a', null),
                 'additionalCommissionRates', named_struct('stepUpCommissionRate', 0.5D)),
             'subMerchants', case when o_orderstatus = 'P' then null
                 when o_orderpriority = '5-LOW' then slice(subs, 1, 0) else subs end)))))"""
@@ -113,11 +113,7 @@ class Adapters:
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            # A one-split file would build all its JSON in one task. Files with a split per core are left alone.
-            if name in FACTS and df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-            self._read[name] = df
+            self._read[name] = df.repartition(FACTS[name]) if name in FACTS else df
         return self._read[name]
 
     def _order_lines(self) -> DataFrame:
@@ -145,12 +141,12 @@ class Adapters:
         rows = rows.join(self._countries(), F.col("city_id") == F.col("city_key"), "left")
         metadata = f"""case when o_orderkey % 4 = 0 then '' when o_orderkey % 4 = 1 then null else to_json(named_struct(
             'partnerOrderSubmitTime', date_format({after("90")}, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-            'qsrCode', if(o_orderkey % 4 = 2, 'mcd', 'own'), 'FPTAcceptedBy', if(o_custkey % 2 = 0, '3', '1'),
+            'qsrCode', if(o_orderkey % 4 = 2, 'pos-a', 'own'), 'FPTAcceptedBy', if(o_custkey % 2 = 0, '3', '1'),
             'payMerchant', if(o_custkey % 3 = 0, 'yes', null))) end"""
         return rows.selectExpr(
             "concat('O', o_orderkey) as order_id",
             "if(o_orderstatus = 'O' and o_orderpriority < '3', null, concat('B', o_orderkey)) as last_booking_code",
-            "concat('S', o_orderkey) as short_order_number", "concat('M', m_key) as merchant_id", "o_custkey as pax_id",
+            "concat('S', o_orderkey) as short_order_number", "concat('M', m_key) as merchant_id", "o_custkey as buyer_id",
             "city_id", "country_id", "if(o_orderkey % 10 = 9, 2, 1) as order_type",
             "case o_orderstatus when 'F' then 11 when 'P' then 9 else 5 end as order_state",
             *[f"{text} as {name}" for name, text in STATES.items()],
@@ -171,15 +167,15 @@ class Adapters:
         )
 
     def booking_base(self) -> DataFrame:
-        rows = self.read("orders").where("o_orderpriority <> '3-MEDIUM'").withColumns({
+        rows = self.read("orders").withColumns({
             "created_time": F.expr(CREATED), "city_id": F.expr(city_of("o_custkey")),
         })
         rows = rows.join(self._countries(), F.col("city_id") == F.col("city_key"), "left")
         return rows.selectExpr(
-            "concat('O', o_orderkey) as order_id", "concat('M', o_orderkey % 100) as merchant_id",
-            "o_custkey as passenger_id", "country_id", "city_id", "o_custkey * 10 as driver_id",
+            "if(o_orderpriority = '3-MEDIUM', null, concat('O', o_orderkey)) as order_id", "concat('M', o_orderkey % 100) as merchant_id",
+            "if(o_orderpriority = '3-MEDIUM', null, o_custkey) as passenger_id", "country_id", "city_id", "o_custkey * 10 as driver_id",
             "o_orderpriority as pickup_area", "o_orderstatus as dropoff_area",
-            "cast(floor(o_totalprice / 1000) as double) as dax_fare", "floor(o_totalprice / 500) / 4D as pax_fare",
+            "cast(floor(o_totalprice / 1000) as double) as driver_fare", "floor(o_totalprice / 500) / 4D as customer_fare",
             "concat('MART', o_orderkey % 20) as promo_code", "cast(floor(o_totalprice / 10000) as double) as promo_expense",
             "cast(floor(o_totalprice) as double) as food_sub_total", "cast(floor(o_totalprice) as double) as basket_size",
             "case o_orderkey % 3 when 0 then 1D when 1 then 2D else 4D end as fx_one_usd",
@@ -193,7 +189,7 @@ class Adapters:
         return line_amounts(self.read("lineitem")).selectExpr(
             "l_suppkey as user_id", "if(l_returnflag = 'N', 1, 2) as user_type", "concat('B', l_orderkey) as booking_code",
             "concat('O', l_orderkey) as order_id", "timestampadd(SECOND, cast(l_orderkey % 86400 as int), l_shipdate) as created_at",
-            "concat('M', l_suppkey) as mex_id", "cast(l_partkey % 5 as int) as order_mode",
+            "concat('M', l_suppkey) as payee_id", "cast(l_partkey % 5 as int) as order_mode",
             "case l_linenumber when 3 then 14 when 4 then 1001 when 5 then 1099 when 6 then 1100 when 7 then 3"
             " else l_linenumber end as tx_type",
             "price_c as tx_amount", f"{pick(CURRENCIES[:3], 'l_partkey % 3')} as currency",
@@ -213,8 +209,8 @@ class Adapters:
         )
 
     def driver_ledger(self) -> DataFrame:
-        return self.read("orders").where("o_orderpriority <> '5-LOW'").selectExpr(
-            "concat('B', o_orderkey) as method", "o_totalprice as amount", *ymd("o_orderdate")
+        return self.read("orders").selectExpr(
+            "if(o_orderpriority = '5-LOW', null, concat('B', o_orderkey)) as method", "o_totalprice as amount", *ymd("o_orderdate")
         )
 
     def fleet(self) -> DataFrame:
@@ -252,14 +248,14 @@ class Adapters:
         )
 
     def store(self) -> DataFrame:
-        return self.read("supplier").where("s_acctbal > 1000").selectExpr(
-            "concat('W', s_suppkey) as wallet_account_id", "1000000 + s_suppkey as wallet_merchant_id",
+        return self.read("supplier").selectExpr(
+            "concat('W', s_suppkey) as wallet_account_id", "if(s_acctbal > 1000, 1000000 + s_suppkey, null) as wallet_merchant_id",
             "concat('Store ', s_name) as trading_name",
         )
 
     def bank_account(self) -> DataFrame:
-        return self.read("supplier").where("s_acctbal > 2000").selectExpr(
-            "concat('W', s_suppkey) as store_wallet_account_id", "lpad(cast(s_suppkey as string), 8, '0') as account_number",
+        return self.read("supplier").selectExpr(
+            "if(s_acctbal > 2000, concat('W', s_suppkey), null) as store_wallet_account_id", "lpad(cast(s_suppkey as string), 8, '0') as account_number",
             "concat('SW', s_nationkey) as swift_code", "concat('ST', s_suppkey) as bank_statement_code",
             "s_nationkey as bank_name_id",
         )
@@ -273,13 +269,13 @@ class Adapters:
         )
 
     def legacy_bank(self) -> DataFrame:
-        return self.read("nation").where("n_regionkey < 3").selectExpr("n_nationkey as id", "concat('LB', n_nationkey) as code")
+        return self.read("nation").selectExpr("if(n_regionkey < 3, n_nationkey, null) as id", "concat('LB', n_nationkey) as code")
 
     def seller(self) -> DataFrame:
         return self.read("supplier").selectExpr("concat('M', s_suppkey) as id", "concat('Seller ', s_suppkey) as name")
 
     def customer_dim(self) -> DataFrame:
-        return self.read("customer").where("c_acctbal > 0").selectExpr("c_custkey as id", "c_name as name")
+        return self.read("customer").selectExpr("if(c_acctbal > 0, c_custkey, null) as id", "c_name as name")
 
     def city(self) -> DataFrame:
         return self.read("nation").selectExpr(
@@ -361,7 +357,7 @@ class Adapters:
             "concat('O', o_orderkey) as order_id", "n_regionkey + 1 as country_id", "r_name as country_name",
             "n_nationkey + 1 as city_id", "n_name as city_name", "date_format(o_orderdate, 'yyyy-MM-dd') as date_local",
             "o_custkey % 50 + 1 as reward_id", "concat('Flag ', o_orderstatus) as product_flag",
-            "cast(floor(o_totalprice / 100) as double) as mex_promo_spend",
+            "cast(floor(o_totalprice / 100) as double) as merchant_promo_spend",
         )
 
     def promo_input(self, region: int) -> DataFrame:
@@ -377,14 +373,14 @@ class Adapters:
         )
 
     def cancel_reason(self) -> DataFrame:
-        return self.read("nation").where("n_nationkey < 6").selectExpr(
-            "n_nationkey as cancel_code", "concat('REASON_', n_nationkey) as cancel_reason_enum"
+        return self.read("nation").selectExpr(
+            "if(n_nationkey < 6, n_nationkey, null) as cancel_code", "concat('REASON_', n_nationkey) as cancel_reason_enum"
         )
 
     def app_log(self) -> DataFrame:
         return self.read("lineitem").selectExpr(
-            "if(l_quantity > 5, 'food-max-api', 'other-log') as log",
-            "map('operation.name', if(l_linenumber <= 5, 'max.track.auto.accept.order', 'other'),"
+            "if(l_quantity > 5, 'order-log', 'other-log') as log",
+            "map('operation.name', if(l_linenumber <= 5, 'order.auto.accept', 'other'),"
             " 'merchantID', concat('M', l_suppkey), 'orderID', concat('O', l_orderkey)) as properties",
             *ymd("l_shipdate"),
         )
@@ -447,8 +443,8 @@ class Adapters:
         )
 
     def ticket(self) -> DataFrame:
-        return self.read("orders").where("o_orderstatus = 'F'").selectExpr(
-            "o_orderkey as id", "concat('B', o_orderkey) as booking_code", "concat('r', o_custkey % 5) as country",
+        return self.read("orders").selectExpr(
+            "if(o_orderstatus = 'F', o_orderkey, null) as id", "if(o_orderstatus = 'F', concat('B', o_orderkey), null) as booking_code", "concat('r', o_custkey % 5) as country",
             "if(o_orderkey % 3 = 0, 'ride', 'food') as service", "o_orderpriority as disposition",
             "date_format(o_orderdate, 'yyyyMMdd') as partition_date",
         )

@@ -205,24 +205,25 @@ def lookup_chain(t: Source) -> DataFrame:
 @operator("right_and_narrowed_outer", """
 select 'right' as shape, n_name as k, s_name as v from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 5000
 union all
-select 'narrowed', c_name, s_name from customer left join supplier on s_nationkey = c_nationkey and s_acctbal > 9000
-  where s_suppkey % 2 = 0
+select 'narrowed', cast(o_orderkey as varchar), c_name from orders left join customer on c_custkey = o_custkey and c_acctbal > 5000
+  where c_custkey % 2 = 0
 """)
 def right_and_narrowed_outer(t: Source) -> DataFrame:
     rich = t.supplier.where("s_acctbal > 5000")
     right = rich.join(t.nation, col("s_nationkey") == col("n_nationkey"), "right").select(
         F.lit("right").alias("shape"), col("n_name").alias("k"), col("s_name").alias("v")
     )
-    kept = t.customer.join(
-        t.supplier, (col("s_nationkey") == col("c_nationkey")) & (col("s_acctbal") > 9000), "left"
-    ).where("s_suppkey % 2 = 0")
-    return right.unionByName(kept.select(F.lit("narrowed").alias("shape"), col("c_name").alias("k"), col("s_name").alias("v")))
+    kept = t.orders.join(
+        t.customer, (col("c_custkey") == col("o_custkey")) & (col("c_acctbal") > 5000), "left"
+    ).where("c_custkey % 2 = 0")
+    return right.unionByName(kept.select(
+        F.lit("narrowed").alias("shape"), col("o_orderkey").cast("string").alias("k"), col("c_name").alias("v")))
 
 
 @operator("reconcile_full_outer", """
 select o_orderkey as order_key, l_orderkey as right_order_key, o_totalprice as total, returned,
   case when l_orderkey is null then 'Not flagged in dashboard' else 'Returned' end as indicator,
-  case when o_orderkey is null then 'Not in PFO' else 'In PFO' end as indicator_2
+  case when o_orderkey is null then 'Not in orders' else 'In orders' end as indicator_2
 from (select * from orders where o_orderstatus <> 'P') full join
   (select l_orderkey, count(*) as returned from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey
 """)
@@ -551,13 +552,13 @@ def discounts_exploded(t: Source) -> DataFrame:
 
 
 @operator("customer_history", """
-select o_custkey as passenger_id, count(*) as total_attempted_orders,
+select case when o_orderpriority <> '3-MEDIUM' then o_custkey end as passenger_id, count(*) as total_attempted_orders,
   cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as total_completed_orders,
   sum(case when o_orderstatus = 'F' then floor(o_totalprice) / fx else 0 end) as total_basket_size_pre_discount_usd,
   sum(case when o_orderstatus = 'F' then (floor(o_totalprice) - floor(o_totalprice / 10000)) / fx else 0 end)
     as total_basket_size_after_discount_usd, date '1995-01-01' as history_start_date, date '1999-12-31' as history_end_date
 from (select *, case o_orderkey % 3 when 0 then 1 when 1 then 2 else 4 end as fx from orders)
-where o_orderpriority <> '3-MEDIUM' and o_orderdate <= date '1999-12-31' and (o_custkey % 25) % 5 + 1 in (1, 2, 3) group by 1
+where o_orderdate <= date '1999-12-31' and (o_custkey % 25) % 5 + 1 in (1, 2, 3) group by 1
 """)
 def customer_history_query(t: Source) -> DataFrame:
     return customer_history(t.market["booking_base"], "1995-01-01", "1999-12-31", countries=(1, 2, 3))
@@ -618,7 +619,7 @@ def local_time_query(t: Source) -> DataFrame:
 
 @operator("time_gaps", f"""with {ro.ORDERS}, {ro.LOGS}
 select order_id, delay as seconds, date '{AS_OF}' - cast(created_time as date) as age_days, ({ro.AUTO}) as auto_accepted, {ro.LABELS}
-from ord left join aa on log_order = order_id and log_merchant = merchant_id where o_orderkey % 10 <> 9
+from ord left join aa on log_order = order_id and log_merchant = merchant_id
 """)
 def time_gaps(t: Source) -> DataFrame:
     orders = _states(t)
@@ -630,10 +631,14 @@ def time_gaps(t: Source) -> DataFrame:
     )
 
 
-def _states(t: Source) -> DataFrame:
-    """Integrated orders with their metadata and whether an acceptance was logged."""
-    orders = t.market["order_snapshot"].where("order_type = 1").drop("snapshot_detail")
+def _with_metadata(orders: DataFrame) -> DataFrame:
     orders = orders.withColumn("meta", F.from_json("metadata", p.ORDER_METADATA))
+    return orders.withColumns({"has_metadata": col("metadata") != "", **order_rules.metadata_fields(col("meta"))})
+
+
+def _states(t: Source) -> DataFrame:
+    """Orders with their metadata and whether an acceptance was logged."""
+    orders = _with_metadata(t.market["order_snapshot"].drop("snapshot_detail"))
     logs = t.market["app_log"].withColumn("log_date", YearMonthDay().value())
     found = log_events(logs, CODES.accept_log, CODES.accept_operation, {"m": "merchantID", "o": "orderID"}, ("log_date",))
     rows = enrich(orders, found, [("order_id", "o"), ("merchant_id", "m")], {"log_order": "o"})
@@ -673,14 +678,13 @@ def json_paths(t: Source) -> DataFrame:
 
 
 # --- Business rules --------------------------------------------------------------------------------------------
-_STATE_SQL = f"with {ro.ORDERS}, {ro.LOGS}\nselect order_id, {{}} from ord {{}} where o_orderkey % 10 <> 9"
+_STATE_SQL = f"with {ro.ORDERS}, {ro.LOGS}\nselect order_id, {{}} from ord {{}}"
 _LOG_JOIN = "left join aa on log_order = order_id and log_merchant = merchant_id"
 
 
 @operator("final_state", _STATE_SQL.format(f"{ro.FINAL_STATE} as final_state, {ro.POS}, {ro.PAYER}", ""))
 def final_state_query(t: Source) -> DataFrame:
-    orders = t.market["order_snapshot"].where("order_type = 1")
-    orders = orders.withColumn("meta", F.from_json("metadata", p.ORDER_METADATA))
+    orders = _with_metadata(t.market["order_snapshot"].drop("snapshot_detail"))
     flags = order_rules.pos_flags(CODES)
     return orders.select("order_id", order_rules.final_state().alias("final_state"), *[f.alias(n) for n, f in flags.items()])
 
@@ -690,11 +694,7 @@ def pay_status_query(t: Source) -> DataFrame:
     return _states(t).select("order_id", order_rules.pay_status(order_rules.auto_accepted(col("logged"), AS_OF)).alias("pay_status"))
 
 
-@operator("pay_status_v1", _STATE_SQL.format("""case when ord_completed_time is not null then 'pay'
-  when pre_accepted_time is not null and log_order is not null and (raw_state = 'UNALLOCATED'
-    or raw_state = '' and booking_state = 'UNALLOCATED') then 'no pay'
-  when pre_accepted_time is not null and raw_state = 'CANCELLED_OPERATOR' and cancel_msg = 'Food is out of stock' then 'no pay'
-  when pre_accepted_time is not null then 'pay' else 'no pay' end as pay_status""", _LOG_JOIN))
+@operator("pay_status_v1", _STATE_SQL.format(f"{ro.PAY_V1} as pay_status", _LOG_JOIN))
 def pay_status_v1_query(t: Source) -> DataFrame:
     return _states(t).select("order_id", order_rules.pay_status_v1(col("logged")).alias("pay_status"))
 
@@ -716,7 +716,7 @@ def order_values_commissions_net(t: Source) -> DataFrame:
     pre_tax, tax = payment_rules.quoted_pre_tax(quote), sc.number_or_zero(quote["inclTaxInMin"]) / 100
     shares = payment_rules.commissions(quote, info)
     kept = ("commission_value", "commission_value_base", "commission_value_step_up", "commission_rate", "commission_rate_kitchen")
-    currency = F.expr(pick(("SGD", "MYR", "THB", "PHP", "VND"), "pax_id % 5"))
+    currency = F.expr(pick(("SGD", "MYR", "THB", "PHP", "VND"), "buyer_id % 5"))
     return rows.select(
         "order_id", *[v.alias(n) for n, v in payment_rules.order_values(p.doc()).items()], *[shares[n].alias(n) for n in kept],
         *[v.alias(n) for n, v in order_rules.kitchen_flags(info["specialMerchantType"], CODES).items()],

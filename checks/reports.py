@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from bazaarledger import plans
 from bazaarledger.functions.dates import Grain
 from bazaarledger.plans.params import (
+    BusinessLine,
     CashParams,
+    Completion,
+    Delivery,
     Dimension,
     EarlyPaymentParams,
     PaymentParams,
@@ -22,6 +25,7 @@ from bazaarledger.plans.params import (
     RefundParams,
     RefundSource,
     SettlementParams,
+    YesNo,
 )
 from bazaarledger.session import prepare
 from bazaarledger.sources.tables import Tables
@@ -59,7 +63,9 @@ def _report(build: Callable[[Tables, object], DataFrame], params: object) -> Que
 
 
 def _payment(**switches) -> PaymentParams:
-    return PaymentParams(**PERIOD, as_of=AS_OF, codes=CODES, bank_details=True, payout_details=True, **switches)
+    return PaymentParams(**{
+        **PERIOD, "as_of": AS_OF, "codes": CODES, "bank_details": True, "payout_details": True, **switches,
+    })
 
 
 def _refund(sources: frozenset, grain: RefundGrain, **more) -> RefundParams:
@@ -67,6 +73,9 @@ def _refund(sources: frozenset, grain: RefundGrain, **more) -> RefundParams:
 
 
 def report_queries() -> dict[str, Query]:
+    def single(**switches) -> Query:
+        return _report(plans.single_payment_report, _payment(**switches))
+
     ratings = {"start": "2024-01-01", "end": "2024-01-31"}
     return {
         "r01": _report(plans.split_payment_report, _payment()),
@@ -89,6 +98,21 @@ def report_queries() -> dict[str, Query]:
         "r12_brand_completed": _report(plans.ratings_report, RatingsParams(
             grain=Grain.MONTH, **ratings, by_merchant=False, completed_only=True)),
         "r13": _report(plans.settlement_report, SettlementParams(**PERIOD)),
+        "r02_month": single(start="1996-03-01", end="1996-03-31"),
+        "r02_takeaway_completed": single(delivery=Delivery.TAKEAWAY, completion=Completion.COMPLETED_ONLY),
+        "r02_delivery_open": single(delivery=Delivery.DELIVERY, completion=Completion.EXCLUDE_COMPLETED),
+        "r02_pos_market_automatic": single(
+            pos_integrated=YesNo.YES, business_line=BusinessLine.MARKET, auto_accept=YesNo.YES),
+        "r02_kitchens_manual": single(pos_integrated=YesNo.NO, business_line=BusinessLine.KITCHEN, auto_accept=YesNo.NO),
+        "r02_mixed_kitchen_places": single(
+            business_line=BusinessLine.KITCHEN_MIXED, cities=(3, 7, 12, 14, 21), countries=(1, 2, 3)),
+        "r02_single_kitchen_chains": single(business_line=BusinessLine.KITCHEN_SINGLE, payout_details=False, chains=tuple(
+            f"CH{n}" for n in (1, 3, 5, 7, 9, 11, 13))),
+        "r03_all_countries": _report(plans.early_payment_report, EarlyPaymentParams(
+            **PERIOD, delivered_start=START, delivered_end=END, bank_details=True, payout_details=True, codes=CODES, fixed_countries=())),
+        "r09_currency": _report(plans.cash_report, CashParams(**PERIOD, currencies=("MYR",))),
+        "r12_places": _report(plans.ratings_report, RatingsParams(
+            grain=Grain.MONTH, **ratings, countries=(1, 3), cities=(1, 3, 8, 11, 13))),
         "r13_all_partners": _report(plans.settlement_report, SettlementParams(
             **PERIOD, own_partner_only=False, search_merchant=True, order_window_days=30)),
     }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from bazaarledger.operators.joins import enrich, join_valid, join_valid_by_day
-from bazaarledger.plans import cash_report, single_payment_report
-from bazaarledger.plans.params import CashParams, PaymentParams
+from bazaarledger.plans import cash_report, promo_report, single_payment_report, split_payment_report
+from bazaarledger.plans.params import BusinessLine, CashParams, Delivery, PaymentParams, PromoParams, YesNo
 from bazaarledger.sources.partitions import CompactDate, DateText, YearMonthDay, partition_between
 from bazaarledger.sources.tables import Tables
-from checks.adapters import marketplace
+from checks.adapters import REGIONS, marketplace
 from checks.reports import report_queries
 
 
@@ -66,6 +68,55 @@ def test_payment_scan_is_pruned_and_parsed_once(spark, stored):
     assert text.count("foodQuoteInMin,StructType") == 1
 
 
+def _without_broadcasts(spark, build):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        return plan(build())
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _exchanged(text: str) -> str:
+    """Input columns of all exchanges."""
+    blocks = text.split("\n\n")
+    return "\n".join(b for b in blocks if b.lstrip().split("\n")[0].endswith(") Exchange"))
+
+
+SWITCHES = dict(delivery=Delivery.DELIVERY, pos_integrated=YesNo.NO, business_line=BusinessLine.MARKET, chains=("CH1", "CH2"))
+
+
+@pytest.mark.parametrize("report", [single_payment_report, split_payment_report])
+def test_documents_are_parsed_once_and_never_shuffled(spark, stored, report):
+    params = PaymentParams(start="1995-01-05", end="1995-01-20", as_of="1995-03-01", **SWITCHES)
+    text = _without_broadcasts(spark, lambda: report(stored, params))
+    assert text.count("foodQuoteInMin,StructType") == 1 and text.count("from_json(StructField(partnerOrderSubmitTime") == 1
+    moved = _exchanged(text)
+    assert "hashpartitioning" in moved
+    assert not re.search(r"\b(snapshot_detail|metadata|doc|meta)#", moved)
+
+
+def test_promo_documents_are_parsed_once_and_never_shuffled(spark, stored, sf_dir):
+    params = PromoParams(regions=REGIONS, start="1995-01-05", end="1995-01-20", cities=(1, 2, 3))
+    text = _without_broadcasts(spark, lambda: promo_report(stored, params))
+    assert text.count("from_json(StructField(cartWithQuote") == 1
+    assert not re.search(r"\b(snapshot_detail|doc)#", _exchanged(text))
+
+
+def test_rates_are_resolved_from_two_columns_of_the_fact(spark, sf_dir):
+    text = plan(report_queries()["r10"](spark, sf_dir))
+    scans = [line for line in text.splitlines() if line.startswith("ReadSchema") and "s_acctbal" in line]
+    assert len(scans) == 1  # the merchant dimension is read once
+
+
+def test_regions_must_be_named(spark, stored):
+    with pytest.raises(ValueError, match="regions"):
+        promo_report(stored, PromoParams(regions=()))
+
+
 def test_no_forced_broadcast(spark, sf_dir):
     """With the size threshold at zero nothing is broadcast, so no lookup is exempt from the size check."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -44,7 +44,7 @@ AT = dt.datetime(2024, 1, 5, 10)
 
 def test_cash_report_collapses_types_and_sums_ledger_repeats(make):
     meta = json.dumps({"daxDeliveryFee": 500, "promotion": "150"})
-    payment = "user_id bigint, user_type int, booking_code string, order_id string, created_at timestamp, mex_id string, order_mode int, tx_type int, tx_amount bigint, currency string, metadata string, year string, month string, day string"
+    payment = "user_id bigint, user_type int, booking_code string, order_id string, created_at timestamp, payee_id string, order_mode int, tx_type int, tx_amount bigint, currency string, metadata string, year string, month string, day string"
     tables = make(
         cashier_payment=([
             (1, 2, "B1", "O1", AT, "M1", 1, 1, 1999, "SGD", meta, "2024", "1", "5"),
@@ -112,14 +112,14 @@ def test_promo_report_truncates_and_fans_out(make):
         promo_a=([("Alpha", "P1", " 7 ", "2024-01-01", "2024-12-31")], promos),
         promo_b=([("Alpha", "P2", "7", "2024-01-01", "2024-12-31"), ("Alpha", "P3", "9", "2023-01-01", "2023-12-31")], promos),
         promo_order=([("O1", 1, "Alpha", 1, "City", "2024-01-05", 7, "MFP", 2.5), ("O9", 1, "Alpha", 1, "City", "2024-01-05", 7, "MFP", 1.0)],
-                     "order_id string, country_id int, country_name string, city_id int, city_name string, date_local string, reward_id bigint, product_flag string, mex_promo_spend double"),
+                     "order_id string, country_id int, country_name string, city_id int, city_name string, date_local string, reward_id bigint, product_flag string, merchant_promo_spend double"),
         merchant_dim=([("M1", "Brand")], "merchant_id string, business_name string"),
     )
     params = PromoParams(regions=("promo_a", "promo_b"), start="2024-01-01", end="2024-01-31")
     rows = sorted((r.order_id or "", r.dashboard_order_id, r.total_promo_code_expense, r.total_basket_size, r.indicator, r.indicator_2)
                   for r in promo_report(tables, params).collect())
-    hit = ("O1", "O1", 19, 70, "MFP", "In PFO")
-    assert rows == [("", "O9", None, None, "MFP", "Not in PFO"), hit, hit]
+    hit = ("O1", "O1", 19, 70, "MFP", "In orders")
+    assert rows == [("", "O9", None, None, "MFP", "Not in orders"), hit, hit]
 
 
 def test_pnl_overlapping_rates_multiply(make, spark):

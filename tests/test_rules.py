@@ -26,7 +26,10 @@ BLANK = dict(order_type=1, order_state=5, booking_state=None, final_state="", ca
 def evaluate(spark, column, **order):
     row = {**BLANK, **order}
     df = spark.createDataFrame([tuple(row.values())], SCHEMA)
-    return df.withColumn("meta", F.from_json("metadata", "FPTAcceptedBy string")).select(column.alias("v")).first().v
+    df = df.withColumns({
+        "has_metadata": F.col("metadata") != "", "accepted_by": F.from_json("metadata", "FPTAcceptedBy string")["FPTAcceptedBy"],
+    })
+    return df.select(column.alias("v")).first().v
 
 
 @pytest.mark.parametrize("order, expected", [
