@@ -246,7 +246,8 @@ def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE,
     pairs = banded.join(ends, "band").select("node", F.explode(F.array("first", "last")).alias("other")).where("node != other")
     pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    bodies = stored(prefiltered(texts, wanted).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")))
+    # an inner join: a semi join would be pushed below the prefilter, and all texts would be shuffled
+    bodies = stored(prefiltered(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("body").alias("body")))
     compared = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
     return classes(similarities(compared, weights, size).where(F.col("similarity") >= similarity).select("a", "b"))
 
