@@ -289,25 +289,48 @@ def item_report(tables: Tables, params: RefundParams) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where(one_of(F.col("merchant_id"), params.merchants))
 
 
+def refunded_orders(orders: DataFrame, bookings: list[DataFrame], order_ids: list[DataFrame]) -> DataFrame:
+    """Orders whose booking or id occurs in one of the refund sources (frames of one key column each).
+
+    Keys meet keys first, two columns of the orders; the wide rows are then cut by order id before any other join.
+    """
+    def routed(route: str, frames: list[DataFrame]) -> list[DataFrame]:
+        return [df.select(F.lit(route).alias("route"), F.col(df.columns[0]).cast("string").alias("key")) for df in frames]
+
+    keys = reduce(DataFrame.unionByName, [*routed("booking", bookings), *routed("order", order_ids)]).where("key is not null")
+
+    def keyed(route: str, column: str):
+        return F.struct(F.lit(route).alias("route"), F.col(column).cast("string").alias("key"))
+
+    own = orders.select("order_id", F.inline(F.array(keyed("booking", "last_booking_code"), keyed("order", "order_id"))))
+    found = semi_filter(own.where("key is not null"), keys, [("key", "key"), ("route", "route")])
+    return semi_filter(orders, found, [("order_id", "order_id")])
+
+
 def order_report(tables: Tables, params: RefundParams) -> DataFrame:
     """Orders with a ledger refund or a refund in a chosen source."""
     codes = params.codes
     orders = order_facts(tables, params)
+    ledger = ledger_refunds(tables, params)
     booking = never_matching(F.col("last_booking_code"), F.col("order_id"))
+    requests = refund_requests(tables, params) if RefundSource.REQUEST in params.sources else None
+    cases = None
+    if RefundSource.CASE in params.sources:
+        cases = case_items(tables, params).groupBy("booking_code").agg(F.avg("payout_amount").alias("payout_amount"))
+    rows = refunded_orders(
+        orders, [df.select("booking_code") for df in (ledger, cases) if df is not None],
+        [requests.select("request_order_id")] if requests is not None else [],
+    )
     found, labels, amounts = [F.col("refund_booking")], [], []
-    if RefundSource.REQUEST in params.sources:
-        requests = refund_requests(tables, params)
-        orders = enrich(orders, requests, [("order_id", "request_order_id")], {
+    if requests is not None:
+        rows = enrich(rows, requests, [("order_id", "request_order_id")], {
             "request_order": "request_order_id", "request_amount": "total_refund_amount",
         })
         labels.append((codes.request_source_label, F.col("request_order")))
         amounts.append(F.col("request_amount"))
         found.append(F.col("request_order"))
-    rows = enrich(orders, ledger_refunds(tables, params), [(booking, "booking_code")], {
-        **LEDGER_TAKE, "refund_booking": "booking_code",
-    })
-    if RefundSource.CASE in params.sources:
-        cases = case_items(tables, params).groupBy("booking_code").agg(F.avg("payout_amount").alias("payout_amount"))
+    rows = enrich(rows, ledger, [(booking, "booking_code")], {**LEDGER_TAKE, "refund_booking": "booking_code"})
+    if cases is not None:
         rows = enrich(rows, cases, [(booking, "booking_code")], {
             "case_booking": "booking_code", "case_amount": "payout_amount",
         })
