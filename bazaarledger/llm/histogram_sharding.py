@@ -24,7 +24,8 @@ from bazaarledger.llm.frames import fresh, ship, stored
 
 #: How far from its target a splitter may lie, as a share of a shard's bytes.
 TOLERANCE = 0.05
-PROBES = 64
+#: Probes per open splitter and round; with many splitters open fewer, 3 at least, so that a round's histogram stays bounded.
+PROBES, PROBES_A_ROUND = 64, 65_536
 MOST_ROUNDS = 40
 MOST_KEY = 2**64 - 1
 
@@ -86,15 +87,15 @@ def splitters(keys: DataFrame, shards: int, parts: int, tolerance: float = TOLER
     best: list[tuple[float, tuple[int, int], int]] = [(float("inf"), (0, 0), 0)] * len(targets)
     for _ in range(MOST_ROUNDS):
         probes: set[tuple[int, int]] = set()
+        many = max(3, min(PROBES, PROBES_A_ROUND // max(1, len(open_))))
         for k in open_:
             (a, _, _), (b, _, _) = low[k], high[k]
             if b[0] - a[0] > 1:
-                step = [a[0] + (b[0] - a[0]) * i // (PROBES + 1) for i in range(1, PROBES + 1)]
-                probes |= {(h, 0) for h in step if a < (h, 0) < b}
+                between = {(a[0] + (b[0] - a[0]) * i // (many + 1), 0) for i in range(1, many + 1)}
             else:  # between one text's hash and the next: only the ids can tell rows apart
-                start = a[1] if b[0] == a[0] or a[1] else 0
                 end = b[1] if b[0] == a[0] else MOST_KEY
-                probes |= {(a[0], start + (end - start) * i // (PROBES + 1)) for i in range(1, PROBES + 1) if a < (a[0], start + (end - start) * i // (PROBES + 1)) < b}
+                between = {(a[0], a[1] + (end - a[1]) * i // (many + 1)) for i in range(1, many + 1)}
+            probes |= {p for p in between if a < p < b}
         if not probes:
             break
         order = sorted(probes)
