@@ -8,8 +8,8 @@ Features are the words of a text and their beginnings, hashed, each at three lev
   kind and for a neutral word, and the squared change of the score's logit is penalised. So a group's name can't stand in for
   the abuse it is often met with, and neutral mentions of groups are not flagged.
 
-Afterwards the chosen features are fitted once more without L1. The fit takes a bounded sample of the labelled rows and runs on
-the driver; scoring is distributed and reads whole texts.
+Afterwards the chosen features are fitted once more without L1. The fit takes a bounded sample of the labelled rows. Their features
+are counted and screened by Spark; only what passes, a small part, is fitted on the driver. Scoring is distributed and reads whole texts.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bazaarledger.llm import words as W
 from bazaarledger.llm.chunks import Chunks, words_of
-from bazaarledger.llm.frames import ship
+from bazaarledger.llm.frames import ship, stored
 
 #: At most this many labelled rows are used for the fit: those with the smallest hash of their id.
-MOST_ROWS = 12_000
-BUCKETS = 1 << 22
+MOST_ROWS = 8_000
+BUCKETS = 1 << 31
 #: A feature met at least k + 1 times also counts as feature number + k * BUCKETS.
 LEVELS = 3
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -144,23 +144,16 @@ def _minimise(x: _Rows, y: np.ndarray, weight: np.ndarray, d: _Rows, l1: float,
     return w, float(b)
 
 
-def fit_texts(found: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], counterfactual: float = COUNTERFACTUAL, l1: float = L1) -> Model:
-    """Fit from the distinct features of each text and, per swap, (features lost, features gained).
+def fit_matrix(labels: np.ndarray, names: np.ndarray, row: np.ndarray, feature: np.ndarray, changes: list[tuple[list[int], list[int]]], counterfactual: float = COUNTERFACTUAL, l1: float = L1) -> Model:
+    """Fit from labels per row, screened features (sorted names; pairs of row and feature) and, per swap, (features lost, gained).
 
     Without labels of both classes the score is the share of toxic labels (0 without any).
     """
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(30.0 if len(y) and y[0] else -30.0)
-    weight, l1, share = np.full(len(y), 1 / len(y)), l1 / len(y), y.mean()
-    flat = np.concatenate(found)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    names, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    excess = np.bincount(column, (y - share)[row], len(names))
-    good = (count >= LEAST_TEXTS) & (excess > SCREEN * np.sqrt(count * share * (1 - share)))
-    names, place = names[good], np.cumsum(good) - 1
-    inside = good[column]
-    x = _Rows(row[inside], place[column[inside]], np.ones(int(inside.sum())), len(found), len(names))
+    weight, l1 = np.full(len(y), 1 / len(y)), l1 / len(y)
+    x = _Rows(row, np.searchsorted(names, feature), np.ones(len(row)), len(y), len(names))
     parts = [(k, f, s) for k, (lost, gained) in enumerate(changes) for fs, s in ((lost, -1.0), (gained, 1.0)) for f in fs]
     at = np.searchsorted(names, [p[1] for p in parts]) if parts else np.zeros(0, np.int64)
     held = [i for i, p in enumerate(parts) if at[i] < len(names) and names[at[i]] == p[1]]
@@ -198,40 +191,55 @@ def _changes(text: str | None, groups: Mapping[str, Sequence[str]]) -> list[tupl
     return out
 
 
-def fit(texts: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id", most: int = MOST_ROWS, groups: Mapping[str, Sequence[str]] = GROUPS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Fit on labelled texts: a frame of (id, text, label), label 0 or 1 (rows with any other label are left out).
-
-    At most ``most`` rows are taken (see ``sample_labels``); ids only choose the sample.
-    """
-    ship(texts.sparkSession)
-    rows = sample_labels(texts.select(id, text, label), id, label, most)
+def sample_labels(labels: DataFrame, id: str, label: str, most: int = MOST_ROWS) -> DataFrame:
+    """(id, label) of the rows of label 0 or 1 with the smallest hash of their id, at most ``most``; NULL ids are left out."""
+    known = labels.select(id, F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1) & F.col(id).isNotNull())
+    return known.orderBy(F.xxhash64(F.lit("sample"), id)).limit(most)
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
-        for piece in W.pieces(batches, text):
-            found, lost, gained = [], [], []
-            for t in piece.column(0).to_pylist():
-                found.append(_levels(t, known))
-                ways = _changes(t, groups)
-                lost.append([a for a, _ in ways])
-                gained.append([b for _, b in ways])
-            yield pa.RecordBatch.from_arrays([piece.column(1), *(pa.array(c, pa.list_(pa.int32()) if k == 0 else pa.list_(pa.list_(pa.int32()))) for k, c in enumerate((found, lost, gained)))], ["label", "found", "lost", "gained"])
 
-    table = rows.select(text, F.col(label).cast("int").alias("label")).mapInArrow(featurise, "label int, found array<int>, lost array<array<int>>, gained array<array<int>>").toArrow()
-    found = [np.asarray(x.values.to_numpy(), dtype=np.int32) for x in table.column("found")]
-    changes = [(a, b) for lost, gained in zip(table.column("lost").to_pylist(), table.column("gained").to_pylist(), strict=True) for a, b in zip(lost, gained, strict=True)]
-    return fit_texts(found, table.column("label").to_numpy(), changes, counterfactual)
+def fit(texts: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id", most: int = MOST_ROWS, groups: Mapping[str, Sequence[str]] = GROUPS, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Fit on labelled texts: a frame of (id, text, label). See ``fit_on_labels``."""
+    return fit_on_labels(texts.drop(label), texts, text, id, label, most, groups, counterfactual)
 
 
-def sample_labels(labels: DataFrame, id: str, label: str, most: int = MOST_ROWS) -> DataFrame:
-    """The rows of label 0 or 1 with the smallest hash of their id, at most ``most``."""
-    return labels.where(F.col(label).isin(0, 1)).orderBy(F.xxhash64(F.lit("sample"), id)).limit(most)
+def fit_on_labels(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: int = MOST_ROWS, groups: Mapping[str, Sequence[str]] = GROUPS, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Fit on the documents that a labels table (id, label) marks 0 or 1.
 
+    At most ``most`` rows are used (see ``sample_labels``), drawn from the labels, so only their texts are read on; ids only choose
+    the sample and join it. Of rows with equal ids one counts. NULL texts count as empty.
+    """
+    ship(docs.sparkSession)
+    some = F.broadcast(sample_labels(labels, id, label, most))  # at most `most` rows
+    rows = docs.select(id, text).join(some.withColumnRenamed(label, "label"), id).dropDuplicates([id])
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", most: int = MOST_ROWS) -> Model:
-    """Fit on the documents that a labels table (id, label) marks. The sample is drawn from the labels, so only its texts are read on."""
-    some = F.broadcast(sample_labels(labels.select(id, label).where(F.col(id).isNotNull()), id, label, most))  # at most `most` rows
-    return fit(docs.select(id, text).join(some, id), text, label, id, most)
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}
+        many = pa.list_(pa.int64())
+        for piece in W.pieces(batches, "text"):
+            texts = piece.column(1).to_pylist()
+            ways = [_changes(t, groups) for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                piece.column(0), pa.array([_levels(t, known) for t in texts], many),
+                pa.array([[a for a, _ in w] for w in ways], pa.list_(many)), pa.array([[b for _, b in w] for w in ways], pa.list_(many)),
+            ], ["label", "found", "lost", "gained"])
+
+    featured = rows.select("label", F.col(text).alias("text")).mapInArrow(featurise, "label int, found array<long>, lost array<array<long>>, gained array<array<long>>")
+    table = stored(featured.select("*", F.monotonically_increasing_id().alias("row")))
+    marked = table.select("row", "label").toArrow()
+    ids, y = marked.column("row").to_numpy(), marked.column("label").to_numpy()
+    if not len(y) or y.min() == y.max():
+        return fit_matrix(y, np.zeros(0), np.zeros(0), np.zeros(0), [])
+    share = float(y.mean())
+    met = table.select("row", "label", F.explode("found").alias("feature"))
+    counted = met.groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    excess = F.col("toxic") - share * F.col("n")
+    good = stored(counted.where((F.col("n") >= LEAST_TEXTS) & (excess > SCREEN * F.sqrt(F.col("n") * (share * (1 - share))))).select("feature"))
+    pairs = met.join(good, "feature").select("row", "feature").toArrow()
+    order = np.argsort(ids)
+    at = order[np.searchsorted(ids, pairs.column("row").to_numpy(), sorter=order)]
+    swapped = table.where(F.size("lost") > 0).select("lost", "gained").toArrow()
+    changes = [c for lost, gained in zip(swapped.column("lost").to_pylist(), swapped.column("gained").to_pylist(), strict=True) for c in zip(lost, gained, strict=True)]
+    return fit_matrix(y, np.sort(good.toArrow().column("feature").to_numpy()), at, pairs.column("feature").to_numpy(), changes, counterfactual)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
