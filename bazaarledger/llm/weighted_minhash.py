@@ -4,8 +4,10 @@
    cell is taken off. Its error is a fixed share of the corpus, and so is what the IDF needs, so it serves all sizes alike.
 2. Every text gets ``BANDS * ROWS`` samples: the shingle and quantised weight that win a draw in which the chance that two texts
    agree equals their weighted Jaccard similarity. Equal texts are merged here, before anything is compared.
-3. Texts that share a band are linked to the smallest and the largest text of that band (two links per member, however large the
-   band), and each link is verified by the exact weighted Jaccard similarity of the two whole texts.
+3. All pairs of a small band are compared by the exact weighted Jaccard similarity of the whole texts. In a large band each member is
+   compared with the lightest text, the hub. If the hub accepts all, the band is settled. Otherwise the members are grouped again by
+   the shingles they hold beyond the hub, until all groups are settled. Nothing is lost by that: of two similar texts no lighter than
+   the hub, one of them not similar to it, the hub cannot hold all that they share, so they share a shingle beyond it.
 4. Verified links are contracted to classes by rounds of hashed minimum labels.
 """
 
@@ -31,6 +33,11 @@ SKETCH_SLICE = 1 << 15
 #: Share of a shingle's weight that its IDF decides; the rest is the same for all shingles.
 IDF_SHARE = 0.25
 
+#: All pairs are compared in groups of up to so many texts.
+SMALL = 8
+#: A text is grouped again by so many of its shingles beyond the hub, those of the smallest hashes; by all where it has fewer.
+BEYOND = 128
+
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 1 << 26
 
@@ -157,7 +164,7 @@ def samples(row: np.ndarray, value: np.ndarray, weight: np.ndarray, many: int =
 
 
 def band_keys(texts: DataFrame, column: str, key: str, weights: Weights, size: int = SHINGLE) -> DataFrame:
-    """(key, bands array<long>) of every row that has a word."""
+    """(key, weight, bands array<long>) of every row that has a word; weight is that of all its shingles."""
     held = texts.sparkSession.sparkContext.broadcast(weights)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +172,22 @@ def band_keys(texts: DataFrame, column: str, key: str, weights: Weights, size: i
             row, value, count = shingles(W.Words(piece.column(piece.schema.get_field_index(column))), size)
             if not len(row):
                 continue
-            rows, drawn = samples(row, value, count * held.value(value))
+            weight = count * held.value(value)
+            rows, drawn = samples(row, value, weight)
             bands = np.stack([W.mix(sum((drawn[:, b * ROWS + r] * _SEEDS[r] for r in range(ROWS)), np.uint64(b))) for b in range(BANDS)], axis=1)
             keys = piece.column(piece.schema.get_field_index(key)).take(pa.array(rows))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([keys, lists], [key, "bands"])
+            total = np.bincount(row, weight.astype(np.float64))[rows]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(total), lists], [key, "weight", "bands"])
 
-    return texts.select(column, key).mapInArrow(sample, f"{key} binary, bands array<long>")
+    return texts.select(column, key).mapInArrow(sample, f"{key} binary, weight double, bands array<long>")
 
 
 def similarities(pairs: DataFrame, weights: Weights, size: int = SHINGLE) -> DataFrame:
-    """Exact weighted Jaccard similarity of (a, b, text_a, text_b), as (a, b, similarity)."""
+    """Exact weighted Jaccard similarity of (a, b, hub, text_a, text_b), as (a, b, hub, similarity, weight, beyond).
+
+    ``hub`` says that b is the hub of a. Then ``weight`` is that of a, and ``beyond`` are hashes of shingles that a holds more often than b.
+    """
     held = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def weighed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,16 +198,29 @@ def similarities(pairs: DataFrame, weights: Weights, size: int = SHINGLE) -> Dat
         for whole in batches:
             for piece in W.pieces(W.pieces(iter([whole]), "text_a"), "text_b"):
                 rows = piece.num_rows
-                (ra, va, wa), (rb, vb, wb) = weighed(piece.column(2)), weighed(piece.column(3))
+                hub = piece.column(2).to_numpy(zero_copy_only=False)
+                (ra, va, wa), (rb, vb, wb) = weighed(piece.column(3)), weighed(piece.column(4))
+                own = np.repeat([True, False], [len(ra), len(rb)])
                 row, value, weight = np.concatenate([ra, rb]), np.concatenate([va, vb]), np.concatenate([wa, wb])
-                order = np.lexsort((value, row))
-                row, value, weight = row[order], value[order], weight[order]
+                order = np.lexsort((~own, value, row))  # of a shingle of both, that of a is first
+                row, value, weight, own = row[order], value[order], weight[order], own[order]
                 both = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
                 shared = np.bincount(row[both], np.minimum(weight[both], weight[both + 1]), rows)
                 total = np.bincount(row, weight, rows) - shared
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(shared / np.maximum(total, 1e-12))], ["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+                more = own & hub[row]
+                more[both[weight[both] <= weight[both + 1]]] = False
+                owner, hashed = row[more], W.mix(value[more] ^ _SEEDS[0])
+                order = np.lexsort((hashed, owner))
+                owner, hashed = owner[order], hashed[order]
+                first = np.searchsorted(owner, np.arange(rows))
+                keep = np.arange(len(owner)) - first[owner] < BEYOND
+                ends = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=rows)))
+                beyond = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed[keep].view(np.int64)))
+                columns = [piece.column(0), piece.column(1), piece.column(2), pa.array(shared / np.maximum(total, 1e-12)), pa.array(np.bincount(ra, wa, rows)), beyond]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "hub", "similarity", "weight", "beyond"])
+
+    schema = "a binary, b binary, hub boolean, similarity double, weight double, beyond array<long>"
+    return pairs.select("a", "b", "hub", "text_a", "text_b").mapInArrow(compare, schema)
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -241,20 +266,51 @@ def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.where(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1).select(*texts.columns)
 
 
+def _grouped(members: DataFrame) -> DataFrame:
+    """Of (node, weight, key): the groups of two or more, with their size and their hub, the lightest text."""
+    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub")).where("n > 1")
+    return stored(members.join(heads.select("key", "n", F.col("hub.node").alias("hub")), "key").select("key", "node", "n", "hub"))
+
+
+def _pairs(groups: DataFrame) -> DataFrame:
+    """(a, b, hub): all pairs of small groups, and of large ones each member with its hub."""
+    small = groups.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set("node").alias("nodes")).select(F.explode("nodes").alias("a"), "nodes")
+    small = small.select("a", F.explode(F.filter("nodes", lambda x: x > F.col("a"))).alias("b"), F.lit(False).alias("hub"))
+    large = groups.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("hub"))
+    return small.unionByName(large).distinct()
+
+
+def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all similar texts of each group of members (node, weight, key); texts has their (node, body).
+
+    Each round compares only pairs that no round before has compared, so the rounds end.
+    """
+    groups = _grouped(members)
+    wanted = stored(groups.select("node").distinct())
+    # an inner join: a semi join would be pushed below the prefilter, and all texts would be shuffled
+    bodies = stored(prefiltered(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("body").alias("body")))
+    pairs, links, done = stored(_pairs(groups)), None, None
+    while True:
+        compared = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
+        judged = stored(similarities(compared, weights, size))
+        found = judged.where(F.col("similarity") >= similarity).select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        done = pairs if done is None else done.unionByName(pairs)
+        hubs = judged.where("hub").groupBy("b").agg(F.min("similarity").alias("least")).where(F.col("least") < similarity).select("b")
+        again = judged.where("hub").join(hubs, "b").select(F.col("a").alias("node"), "weight", "b", F.explode("beyond").alias("shingle"))
+        groups = _grouped(stored(again.select("node", "weight", F.xxhash64("b", "shingle").alias("key"))))
+        pairs = stored(_pairs(groups).join(done, ["a", "b", "hub"], "left_anti"))
+        if pairs.isEmpty():
+            return links
+
+
 def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): texts (16-byte digests) that have a near duplicate, and the label of their class."""
     texts = df.select(digest(text).alias("node"), F.coalesce(text, F.lit("")).alias("body"))
     weights = Weights(document_frequencies(texts, "body", size))
-    nodes = stored(band_keys(texts, "body", "node", weights, size).groupBy("node").agg(F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    pairs = banded.join(ends, "band").select("node", F.explode(F.array("first", "last")).alias("other")).where("node != other")
-    pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    # an inner join: a semi join would be pushed below the prefilter, and all texts would be shuffled
-    bodies = stored(prefiltered(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("body").alias("body")))
-    compared = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
-    return classes(similarities(compared, weights, size).where(F.col("similarity") >= similarity).select("a", "b"))
+    nodes = stored(band_keys(texts, "body", "node", weights, size).groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    members = nodes.select("node", "weight", F.explode("bands").alias("key"))
+    return classes(similar_pairs(members, texts, weights, size, similarity))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

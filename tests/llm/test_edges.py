@@ -92,6 +92,17 @@ def test_near_duplicate_classes(nasty, rows):
     assert kept.columns == nasty.columns and kept.count() == different
 
 
+def test_near_duplicates_among_texts_that_share_a_passage(spark):
+    """1,500 texts of one source share most of their words; the 150 planted pairs in it must all be found, and nothing else."""
+    passage = [f"shared{k}" for k in range(176)]
+    own = [[f"own{i}x{k}" for k in range(24)] for i in range(1500)]
+    for i in range(0, 300, 2):  # similarities from about 0.83 to 0.9
+        own[i + 1] = [f"other{i}" if k in ([4, 10], [4, 10, 22], [3, 8, 17])[i // 2 % 3] else w for k, w in enumerate(own[i])]
+    texts = [(i, " ".join(passage + words)) for i, words in enumerate(own)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 if i < 300 else i for i in range(1500)}
+
+
 def test_near_duplicates_chain_in_a_large_group(spark):
     base = [f"t{k}" for k in range(400)]
     texts = [(i, " ".join(base[:i % 300] + [f"new{i}"] + base[i % 300 :])) for i in range(300)]
