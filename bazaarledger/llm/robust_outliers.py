@@ -3,7 +3,7 @@
 Base statistics of every text give two hard rules. The texts that pass them form, per language and source, a cloud of
 transformed statistic vectors. Its centre and scatter are minimum-covariance-determinant estimates: from a start by medians and
 median absolute deviations, concentration steps take the share ``SUBSET`` of the group with the smallest distances and fit mean and covariance to
-it, until the determinants stop falling. Texts whose squared Mahalanobis distance lies beyond a chi-square quantile are rejected.
+it, until no group's determinant changes any more. Texts whose squared Mahalanobis distance lies beyond a chi-square quantile are rejected.
 
 Every step is a join of a table of one row per group to the narrow statistics table and one aggregation, combined map-side; a
 group of any size is never brought together. The statistics table is computed once and stored.
@@ -24,14 +24,16 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
 
-#: Transformed statistics and the least standard deviation each is credited with, so that groups without spread reject little.
-LEAST_SPREAD = {"log_words": 0.5, "log_word_length": 0.08, "root_symbols": 0.05, "root_dup_lines": 0.2, "root_repeats": 0.2}
+#: Transformed statistics and the least standard deviation each is credited with: so small that each statistic can reject by itself.
+LEAST_SPREAD = {"log_words": 0.25, "log_word_length": 0.04, "root_symbols": 0.03, "root_dup_lines": 0.1, "root_repeats": 0.1}
 DIMENSIONS = list(LEAST_SPREAD)
 #: Share of a group in the subset. Its consistency factor for five dimensions is 0.75 / P(chi2(7) <= the 0.75 quantile of chi2(5)).
 SUBSET, CONSISTENCY = 0.75, 1.41
-#: The 0.99999 quantile of chi2(5).
-CUTOFF = 30.86
-MOST_STEPS = 10
+#: The 0.999 quantile of chi2(5).
+CUTOFF = 20.515
+#: Steps end when no group's log determinant changes by more than this; approximate quantiles could alternate for ever, hence a bound.
+CONVERGED = 1e-6
+MOST_STEPS = 100
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -137,17 +139,17 @@ def group_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     for i, j in _pairs():
         value = (1.4826 * F.col(f"s_{i}")) ** 2 + LEAST_SPREAD[DIMENSIONS[i]] ** 2 if i == j else F.lit(0.0)
         spread = spread.withColumn(f"c_{i}_{j}", value)
-    groups, before = stored(_cholesky(spread)), None
+    groups = stored(_cholesky(spread))
     for _ in range(MOST_STEPS):
         far = stored(_distances(rows, groups, keys, "distance"))
         limit = far.groupBy(*keys).agg(F.percentile_approx("distance", SUBSET).alias("limit"))
         limit = limit.select(*(F.col(k).alias(f"group_{k}") for k in keys), "limit")
         subset = far.join(limit, condition).where("distance <= limit")
+        before = groups.select(*(F.col(k).alias(f"group_{k}") for k in keys), F.col("log_det").alias("before"))
         groups = stored(_cholesky(subset.groupBy(*keys).agg(*_estimates())))
-        now = groups.agg(F.sum("log_det")).first()[0]
-        if now is None or before is not None and abs(before - now) < 1e-3:
+        change = groups.join(before, condition).agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
+        if change is None or change < CONVERGED:
             break
-        before = now
     return groups
 
 

@@ -262,3 +262,15 @@ def test_robust_outliers_are_rejected(spark):
     odd = [(1000 + k, " ".join(f"#{random.integers(0, 10**6)}$" for _ in range(100)), "en", "s") for k in range(60)]
     got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].kept for i, *_ in plain) and not any(got[i].kept for i, *_ in odd)
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    """One text with four lines of five repeated, and one with a tenth of symbols, in a group that has neither."""
+    random = np.random.default_rng(6)
+    plain = [(k, " ".join(f"w{x}" for x in random.integers(0, 10000, int(random.integers(60, 140))))) for k in range(200)]
+    short = "\n".join(f"w{x}" for x in random.integers(0, 5, 30))
+    odd = [(900, plain[0][1] + "\n" + short), (901, " ".join(f"{w}#" if k % 2 else w for k, w in enumerate(plain[1][1].split())))]
+    frame = spark.createDataFrame([(i, t, "en", "web") for i, t in plain + odd], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_verdicts(frame).collect()}
+    assert sum(got[i].kept for i, _ in plain) >= 196
+    assert not any(got[i].base_failed or got[i].kept for i, _ in odd)

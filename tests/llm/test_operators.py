@@ -149,6 +149,14 @@ def test_base_statistics_and_verdicts(spark, sf_dir, texts):
     assert np.mean(clean) > 0.98 and (not junk or np.mean(junk) < 0.4)
 
 
+def test_quality_labels(spark):
+    """At most 5 % of the labelled junk past the base rules is kept, and at least 98 % of the clean texts."""
+    rows = queries.op10_outliers(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    clean, junk = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    print("clean kept", sum(clean), "of", len(clean), "junk kept", sum(junk), "of", len(junk))
+    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.05
+
+
 def test_toxicity_on_held_out_labels(spark):
     rows = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
