@@ -1,7 +1,7 @@
 """License scans by canonical digests, in DataFrame operations only.
 
-A text is brought to canonical form: lower case, copyright lines removed, punctuation and white space to single spaces, equivalent
-spellings unified. The digest of the entire canonical text is hash-joined to the digests of known licences. Each line of a text
+A text is brought to canonical form: lower case, copyright lines and headings removed, punctuation, comment marks and white space to
+single spaces, equivalent spellings unified. The digest of the entire canonical text is hash-joined to the digests of known licences. Each line of a text
 is looked up as a text of its own as well, since corpora carry licence notices as single lines.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarledger.llm.frames import stored
+from bazaarledger.llm.license_digests import DIGESTS
 
 #: Spellings counted as equal (left becomes right).
 EQUIVALENT = {
@@ -50,6 +51,18 @@ KNOWN: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+#: A copyright line, after comment marks: a year, a name or a sign must follow, since wrapped licence texts have lines that start with
+#: "copyright holders" or "(c) You must retain".
+COPYRIGHT = (
+    "^[^\\p{L}\\p{N}(©\"']*(?:©|\\([cC]\\)\\s*(?:(?i:copyright)\\b|\\d{4}|[<\\[{])|(?i:copyright)\\s*[:,]?\\s*(?:©|\\([cC]\\)|\\d{4}|[<\\[{]|(?i:by)\\s+[\\p{Lu}\\d]"
+    "|(?<=\\s)(?!(?i:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|acts?|rights?|offices?|treaty|treaties|disclaimers?|and|or|in|of|to|is|are|for|this|that)\\b)\\p{Lu}))"
+)
+#: Canonical lines that stand above licence texts or after copyright lines and belong to neither.
+HEADINGS = (
+    "all rights reserved", "license", "mit license", "the mit license", "mit license mit", "the mit license mit", "isc license", "the isc license", "isc license isc",
+    "bsd license", "the bsd license", "new bsd license", "modified bsd license", "simplified bsd license", "bsd 2 clause license", "the bsd 2 clause license", "bsd 2 clause simplified license",
+    "bsd 3 clause license", "the bsd 3 clause license", "bsd 3 clause new or revised license", "bsd zero clause license", "zero clause bsd",
+)
 #: The known table is broadcast, so its size is bounded.
 MOST_KNOWN = 20_000
 
@@ -59,11 +72,11 @@ def canonical_lines(text: Column) -> Column:
     spellings = F.create_map(*(F.lit(x) for pair in EQUIVALENT.items() for x in pair))
 
     def canonical(line: Column) -> Column:
-        plain = F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " "))
+        plain = F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
         spelled = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(F.try_element_at(spellings, w), w)), " ")
-        return F.when(line.rlike("^\\s*(copyright\\b|\\(c\\)|©)"), F.lit("")).otherwise(spelled)
+        return F.when(line.rlike(COPYRIGHT), F.lit("")).otherwise(spelled)
 
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), canonical), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical), lambda x: ~x.isin("", *HEADINGS))
 
 
 def _digest(canonical: Column) -> Column:
@@ -71,11 +84,14 @@ def _digest(canonical: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): one row per digest; where texts of two names agree, the smaller name."""
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"known: {len(known)} texts, at most {MOST_KNOWN} are broadcast")
+    """(digest, license): one row per digest; where texts of two names agree, the smaller name. KNOWN is completed by DIGESTS."""
+    whole = DIGESTS if known is KNOWN else []
+    if len(known) + len(whole) > MOST_KNOWN:
+        raise ValueError(f"known: {len(known) + len(whole)} texts, at most {MOST_KNOWN} are broadcast")
     texts = spark.createDataFrame(known, "license string, text string")
-    return texts.select("license", _digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    digests = texts.select("license", _digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"))
+    digests = digests.unionByName(spark.createDataFrame(whole, "license string, hex string").select("license", F.unhex("hex").alias("digest")))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", id: str = "doc_id", known: list[tuple[str, str]] = KNOWN) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -214,6 +216,32 @@ def test_licenses(spark):
     assert got[5] == (None, 0, "") and got[6] == (None, 0, "") and got[7] == ("MIT", 1, "MIT")
 
 
+def test_whole_licenses_as_files_have_them(spark):
+    bodies = {name: next(text for n, text in KNOWN if n == name) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    texts, expected = [], []
+    for name, body in bodies.items():
+        for width in range(40, 100):
+            lines = [line for part in body.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+            head = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}.get(name, f"{name} License")
+            for mark in ("", "# ", "// ", " * "):
+                texts.append("\n".join(mark + line for line in [head, "", "Copyright (c) 2020, Jane Doe", "Copyright Some Company", "All rights reserved.", "", *lines]))
+                expected.append(name)
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    for file, name in files.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            texts += [path.read_text(), "\n".join(f"# {line}" for line in path.read_text().split("\n")), path.read_text() + "and more"]
+            expected += [name, name, None]
+    apache = Path("/usr/share/common-licenses/Apache-2.0")
+    if apache.exists():
+        texts.append(apache.read_text().replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Some Company"))
+        expected.append("Apache-2.0")
+    texts += ["Copyright holders\n" + bodies["MIT"], "(c) You must\n" + bodies["MIT"]]  # not copyright lines: other texts
+    expected += [None, None]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_rollup_commits_are_idempotent(spark, tmp_path):
     counts = spark.createDataFrame([("a", "en", "t", 5), ("a", "en", "t", 7), (None, None, "t", None)], "source string, lang string, tokenizer string, n_tokens long")
     rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
