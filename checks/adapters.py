@@ -1,6 +1,8 @@
 """Report input tables derived inside Spark from the driver's star-schema tables.
 
-Every table keeps all rows of its source. Keys that must find nothing, for the outer joins, are blanked by a property of the row. JSON columns are built from columns, so report oracles can be written without JSON.
+Tables keep all rows of their source, but for these, whose rows are chosen as part of the tested feature: ``promo_order`` (orders of every
+fifth customer, not urgent), ``refund_approved`` and the refund request lines (returned lines), ``case`` (orders not of low priority),
+and the small lists ``promo_input`` (one region) and the extra row of the booking rates. In the other tables, keys that must find nothing, for the outer joins, are blanked by a property of the row. JSON columns are built from columns, so report oracles can be written without JSON.
 """
 
 from __future__ import annotations
