@@ -24,11 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    digests = docs.select("doc_id", F.sha2("text", 256).alias("text"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return histogram_sharding.shard(digests, 16, "size").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
+    # the documents themselves are sharded; their digest is taken afterwards
+    return histogram_sharding.shard(docs, 16, "size").select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 

@@ -61,6 +61,13 @@ def test_sharding(spark, sf_dir, texts):
     assert all(len(s) == 1 for t, s in shards.items() if groups[t] < 0.05 * mean)
 
 
+def test_sharding_exchanges_whole_documents(spark, sf_dir, texts, monkeypatch):
+    given, shard = [], queries.histogram_sharding.shard
+    monkeypatch.setattr(queries.histogram_sharding, "shard", lambda df, *more: given.append(df) or shard(df, *more))
+    queries.op1_sharding(spark, sf_dir)
+    assert {r.doc_id: r.text for r in given[0].select("doc_id", "text").collect()} == texts
+
+
 def test_near_duplicates(spark, sf_dir, texts):
     shingles = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in ((i, WORD.findall(t)) for i, t in texts.items())}
     rows = queries.op2_minhash(spark, sf_dir).collect()
