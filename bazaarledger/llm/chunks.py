@@ -6,7 +6,9 @@ kept in one flat array; the ids of a text are gathered by numpy.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Hashable
 from itertools import chain, repeat
 
@@ -69,22 +71,58 @@ class Chunks:
         return ids, sums[np.concatenate([[0], np.cumsum(lengths)])]
 
 
+#: Tokenizers of this process with what they have learned, by path and separator: a worker keeps them from task to task.
+_KEPT: dict[tuple[str, str], Chunks] = {}
+
+
 def word_tokenizer(path: str, separator: str, batch: int = 1000) -> Chunks:
     """Ids by the ``tokenizers`` library, for tokenizers that cut at white space and drop it: chunks are ``bytes.split()`` words.
 
-    New words are tokenized many at a time with ``separator`` between them, a special token that the tokenizer cuts out before
-    anything else. Words that hold part of a special token go one by one.
+    A new word of printable ASCII and common Latin letters is cut further by the tokenizer's own splitting pattern, where it has one, so that "word," and
+    "(Word" need no tokenizing once "word" is known. What is new then is tokenized many at a time with ``separator`` in between, a
+    special token that the tokenizer cuts out before anything else. Pieces that hold part of a special token go one by one.
     """
+    if (path, separator) not in _KEPT:
+        _KEPT.clear()  # one at a time: memory stays bounded
+        _KEPT[path, separator] = _word_tokenizer(path, separator, batch)
+    return _KEPT[path, separator]
+
+
+#: Characters that NFC leaves alone and that are letters, digits or marks in every Unicode version.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _splitter(description: dict) -> Callable[[str], list[str]] | None:
+    """How the tokenizer cuts a lower-case word of ``_PLAIN`` characters, if its description tells that by one pattern of what to keep."""
+    def parts(step: dict | None, name: str) -> list[dict]:
+        return [] if step is None else step[name] if step["type"] == "Sequence" else [step]
+
+    lowers = parts(description["normalizer"], "normalizers")
+    if {n["type"] for n in lowers} - {"NFC", "Replace", "Lowercase"} or not any(n["type"] == "Lowercase" for n in lowers):
+        return None
+    if any(n["type"] == "Replace" and n["pattern"] != {"Regex": "\\s+"} for n in lowers):
+        return None
+    cuts = parts(description["pre_tokenizer"], "pretokenizers")
+    if not cuts or cuts[0]["type"] != "Split" or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or "Regex" not in cuts[0]["pattern"]:
+        return None
+    if any(c["type"] != "ByteLevel" or c["use_regex"] or c["add_prefix_space"] for c in cuts[1:]):
+        return None
+    pattern = cuts[0]["pattern"]["Regex"].replace("\\p{L}", "a-zß-öø-ÿ").replace("\\p{N}", "0-9")
+    return None if "\\p" in pattern or "(" in pattern else re.compile(pattern).findall
+
+
+def _word_tokenizer(path: str, separator: str, batch: int) -> Chunks:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     mark = tokenizer.token_to_id(separator)
-    doubt = separator[:2].encode()
+    doubt = separator[:2]
+    cut, plain_word = _splitter(json.loads(tokenizer.to_str())), _PLAIN.fullmatch
 
-    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [k for k, c in enumerate(new) if doubt not in c]
-        joined = [separator.join(new[k].decode() for k in plain[at : at + batch]) + separator for at in range(0, len(plain), batch)]
+        joined = [separator.join([new[k] for k in plain[at : at + batch]]) + separator for at in range(0, len(plain), batch)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
         ends = np.flatnonzero(ids == mark)
         if len(plain) == len(new):
@@ -93,11 +131,18 @@ def word_tokenizer(path: str, separator: str, batch: int = 1000) -> Chunks:
         for k, x in zip(plain, np.split(ids, ends + 1), strict=False):
             found[k] = x[:-1]
         odd = [k for k, c in enumerate(new) if doubt in c]
-        for k, e in zip(odd, tokenizer.encode_batch_fast([new[k].decode() for k in odd], add_special_tokens=False), strict=True):
+        for k, e in zip(odd, tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False), strict=True):
             found[k] = np.asarray(e.ids, dtype=np.int32)
         return np.concatenate(found), np.array([len(x) for x in found])
 
-    return Chunks(encode)
+    parts = Chunks(encode)
+
+    def learn(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [c.decode() for c in new]
+        ids, edges = parts.gather([cut(w.lower()) if cut and plain_word(w) and doubt not in w else [w] for w in words])
+        return ids, np.diff(edges)
+
+    return Chunks(learn)
 
 
 def words_of(texts: list[str | None]) -> list[list[bytes]]:

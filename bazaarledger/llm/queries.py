@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarledger.llm import histogram_sharding, license_scan, packing, piece_bpe, token_rollup, toxicity
-from bazaarledger.llm.frames import digest, shared_folder, stored
+from bazaarledger.llm import histogram_sharding, jacobi_davidson, license_scan, packing, pair_grammar, periodic_runs, piece_bpe, token_rollup, toxicity
+from bazaarledger.llm import words as W
+from bazaarledger.llm.frames import digest, shared_folder, ship, stored
 from bazaarledger.llm.heavy_hitter_dedup import copy_groups
 from bazaarledger.llm.robust_outliers import quality_verdicts
 from bazaarledger.llm.substring_dedup import remove_repeats
@@ -96,7 +99,52 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_licenses": op4_licenses, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers}
+def op11_pair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    pair_grammar.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), "<|endoftext|>", end_id=2)
+    return pair_grammar.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_davidson.whiten(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which every tenth document, by the hash of its id, repeats a stretch of its words to its end."""
+    ship(docs.sparkSession)
+    h = F.crc32(F.col("doc_id").cast("string"))
+    seeded = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("seed"))
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in W.pieces(batches, "text"):
+            doc_id, text, seed = piece.columns
+            found = W.Words(text)
+            n = np.diff(found.first)
+            g = seed.fill_null(0).to_numpy(zero_copy_only=False)
+            chosen = (n > 0) & seed.is_valid().to_numpy(zero_copy_only=False)
+            a = np.where(chosen, g % np.maximum(n, 1), n)
+            p = 1 + (n - a) // (3 + g % 8)
+            row = found.row
+            word = np.arange(len(found)) - found.first[row]
+            source = found.first[row] + np.where(word >= a[row], a[row] + (word - a[row]) % p[row], word)
+            repeated = pa.compute.if_else(pa.array(chosen), periodic_runs.joined(found, source), text)
+            yield pa.RecordBatch.from_arrays([doc_id, repeated], ["doc_id", "text"])
+
+    return seeded.mapInArrow(plant, docs.select("doc_id", "text").schema)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(line, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_licenses": op4_licenses, "op5_substring": op5_substring, "op6_exact": op6_exact, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_toxicity": op9_toxicity, "op10_outliers": op10_outliers, "op11_pair_grammar": op11_pair_grammar, "op12_whitening": op12_whitening, "op13_periodic_runs": op13_periodic_runs}
 
 ORACLES: dict[str, str] = {
     "op4_licenses": license_scan.oracle_sql(),

@@ -152,7 +152,7 @@ def repeated_spans(texts: DataFrame, column: str, key: str, width: int = WIDTH,
                     maybe &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 starts = starts[maybe]
                 h1.append(a[maybe])
-                h2.append(W.window_hashes(h, starts, width, 2))
+                h2.append(W.window_hashes(found.hashes(2), starts, width, 2))
                 at.append(starts + base)
                 first.append(found.first[1:] + base)
                 base += len(found)

@@ -1,12 +1,15 @@
 """Words of many texts at once: flat numpy arrays over an Arrow string column.
 
 A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. All separators are ASCII, so the bytes of UTF-8 text can be cut
-without decoding. Hashes are polynomials modulo 2**64 over random byte (word) values, finished by a mixing step; the constants
-come from a seeded generator, so every task on every machine agrees.
+without decoding. A word of up to ``LONG`` bytes is hashed eight bytes at a time, a bijection of 64 bits after each; a longer one by
+BLAKE2, so no family of words collides by its structure. Windows are polynomials modulo 2**64 over these word hashes, which act as
+random values, finished by a mixing step. Two hashes of a window start from two hashes of each word. All constants come from a
+seeded generator, so every task on every machine agrees.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,9 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 _RANDOM = np.random.default_rng(20240229)
-_BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of more bytes go through a cryptographic digest.
+LONG = 64
+_ROUND = _RANDOM.integers(1, 2**63, (4, LONG // 8 + 1), dtype=np.uint64)
 _BASES = tuple(int(x) * 2 + 1 for x in _RANDOM.integers(2**40, 2**62, 4))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -80,11 +85,25 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit value per word."""
-        sums = _sums(_BYTE_VALUE[self.data], 0)
-        inverse = _powers(0, len(self.data) + 1)[1]
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, which: int = 1) -> np.ndarray:
+        """One 64-bit value per word; ``which`` (1 to 3) selects an independent function."""
+        length = self.end - self.start
+        out = mix(length.astype(np.uint64) + _ROUND[which, -1])
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        at = np.flatnonzero(length <= LONG)
+        for k in range(LONG // 8):
+            at = at[length[at] > 8 * k]
+            if not len(at):
+                break
+            chunk = eights[self.start[at] + 8 * k].view("<u8").reshape(-1)
+            spare = np.maximum(8 * (k + 1) - length[at], 0).astype(np.uint64) * np.uint64(8)
+            chunk = (chunk << spare) >> spare
+            out[at] = mix((out[at] ^ mix(chunk + _ROUND[which, k])) + np.uint64(which))
+        for k in np.flatnonzero(length > LONG):
+            raw = self.data[self.start[k] : self.end[k]].tobytes()
+            out[k] = np.frombuffer(hashlib.blake2b(raw, digest_size=8, salt=bytes([which])).digest(), dtype="<u8")[0]
+        return out
 
     def window_starts(self, width: int) -> np.ndarray:
         """Indexes of the words that start a window of ``width`` words within their row."""
@@ -93,8 +112,8 @@ class Words:
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, width: int, which: int = 1) -> np.ndarray:
-    """One 64-bit value per window of ``width`` consecutive word hashes; ``which`` (1 to 3) selects an independent function."""
-    sums = _sums(hashes if which == 1 else mix(hashes + np.uint64(which)), which)
+    """One 64-bit value per window of ``width`` consecutive word hashes; ``which`` (1 to 3) selects the polynomial's base."""
+    sums = _sums(hashes, which)
     return mix((sums[starts + width] - sums[starts]) * _powers(which, len(hashes) + 1)[1][starts])
 
 
