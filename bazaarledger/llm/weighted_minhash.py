@@ -4,16 +4,19 @@
    cell is taken off. Its error is a fixed share of the corpus, and so is what the IDF needs, so it serves all sizes alike.
 2. Every text gets ``BANDS * ROWS`` samples: the shingle and quantised weight that win a draw in which the chance that two texts
    agree equals their weighted Jaccard similarity. Equal texts are merged here, before anything is compared.
-3. All pairs of a small band are compared by the exact weighted Jaccard similarity of the whole texts. In a large band each member is
-   compared with the lightest text, the hub. If the hub accepts all, the band is settled. Otherwise the members are grouped again by
-   the shingles they hold beyond the hub, until all groups are settled. Nothing is lost by that: of two similar texts no lighter than
-   the hub, one of them not similar to it, the hub cannot hold all that they share, so they share a shingle beyond it.
+3. Texts that share a band are compared by the exact weighted Jaccard similarity of the whole texts: each member with the lightest,
+   the hub. A hub that accepts all members has joined them, and the band is settled, however large. The members of all other bands are
+   open. Two similar texts share a shingle among the rarest of each, those that hold a little over 1 - ``SIMILARITY`` of its weight
+   (prefix filter), so all links between open texts lie in the groups by such shingles. Groups of the same members count once; those
+   that their hub does not settle either are compared whole: all pairs of a few texts, or tiles of blocks of texts of bounded size.
+   So no link between two texts that share a band is lost, and the number of steps is fixed.
 4. Verified links are contracted to classes by rounds of hashed minimum labels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,12 @@ SKETCH_SLICE = 1 << 15
 #: Share of a shingle's weight that its IDF decides; the rest is the same for all shingles.
 IDF_SHARE = 0.25
 
-#: All pairs are compared in groups of up to so many texts.
-SMALL = 8
-#: A text is grouped again by so many of its shingles beyond the hub, those of the smallest hashes; by all where it has fewer.
-BEYOND = 128
+#: All pairs are listed in groups of up to so many texts; larger ones are compared in tiles.
+SMALL = 16
+#: Texts, and shingles, of one block of a tile; a tile holds two blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
+#: A hub with more pairs than this is joined to them under several salted keys.
+HOT_HUB = 500
 
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 1 << 26
@@ -183,44 +188,96 @@ def band_keys(texts: DataFrame, column: str, key: str, weights: Weights, size: i
     return texts.select(column, key).mapInArrow(sample, f"{key} binary, weight double, bands array<long>")
 
 
-def similarities(pairs: DataFrame, weights: Weights, size: int = SHINGLE) -> DataFrame:
-    """Exact weighted Jaccard similarity of (a, b, hub, text_a, text_b), as (a, b, hub, similarity, weight, beyond).
+def _weighed(texts: pa.Array, weights: Weights, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, weight) of the texts, by row and shingle."""
+    row, value, count = shingles(W.Words(texts), size)
+    return row, value, count * weights(value).astype(np.float64)
 
-    ``hub`` says that b is the hub of a. Then ``weight`` is that of a, and ``beyond`` are hashes of shingles that a holds more often than b.
-    """
-    held = pairs.sparkSession.sparkContext.broadcast(weights)
 
-    def weighed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, value, count = shingles(W.Words(texts), size)
-        return row, value, count * held.value(value).astype(np.float64)
+def similarities(pairs: DataFrame, weights: Weights, size: int = SHINGLE) -> DataFrame:
+    """Exact weighted Jaccard similarity of (a, b, text_a, text_b), as (a, b, similarity)."""
+    held = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for piece in W.pieces(W.pieces(iter([whole]), "text_a"), "text_b"):
                 rows = piece.num_rows
-                hub = piece.column(2).to_numpy(zero_copy_only=False)
-                (ra, va, wa), (rb, vb, wb) = weighed(piece.column(3)), weighed(piece.column(4))
-                own = np.repeat([True, False], [len(ra), len(rb)])
+                (ra, va, wa), (rb, vb, wb) = (_weighed(piece.column(k), held.value, size) for k in (2, 3))
                 row, value, weight = np.concatenate([ra, rb]), np.concatenate([va, vb]), np.concatenate([wa, wb])
-                order = np.lexsort((~own, value, row))  # of a shingle of both, that of a is first
-                row, value, weight, own = row[order], value[order], weight[order], own[order]
+                order = np.lexsort((value, row))
+                row, value, weight = row[order], value[order], weight[order]
                 both = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
                 shared = np.bincount(row[both], np.minimum(weight[both], weight[both + 1]), rows)
                 total = np.bincount(row, weight, rows) - shared
-                more = own & hub[row]
-                more[both[weight[both] <= weight[both + 1]]] = False
-                owner, hashed = row[more], W.mix(value[more] ^ _SEEDS[0])
-                order = np.lexsort((hashed, owner))
-                owner, hashed = owner[order], hashed[order]
-                first = np.searchsorted(owner, np.arange(rows))
-                keep = np.arange(len(owner)) - first[owner] < BEYOND
-                ends = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=rows)))
-                beyond = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed[keep].view(np.int64)))
-                columns = [piece.column(0), piece.column(1), piece.column(2), pa.array(shared / np.maximum(total, 1e-12)), pa.array(np.bincount(ra, wa, rows)), beyond]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "hub", "similarity", "weight", "beyond"])
-
-    schema = "a binary, b binary, hub boolean, similarity double, weight double, beyond array<long>"
-    return pairs.select("a", "b", "hub", "text_a", "text_b").mapInArrow(compare, schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(shared / np.maximum(total, 1e-12))], ["a", "b", "similarity"])
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+
+
+def rare_shingles(texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
+    """(node, weight, shingles, keys) of (node, body): ``keys`` are hashes of the rarest shingles, whose others weigh less than
+    ``similarity`` of the text. Texts of at least that similarity share a key: what a text has in common with another is at least that
+    share of its weight, so it can't all lie past the last key of the text whose keys end first."""
+    held = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in W.pieces(batches, "body"):
+            row, value, count = shingles(W.Words(piece.column(1)), size)
+            each = held.value(value).astype(np.float64)
+            order = np.lexsort((W.mix(value ^ _SEEDS[0]), -each, row))  # the same order of shingles for all texts
+            row, value, weight = row[order], value[order], (count * each)[order]
+            total = np.bincount(row, weight, piece.num_rows)
+            sums = np.cumsum(weight)
+            before = sums - weight - np.concatenate([[0], np.cumsum(total)])[row]
+            keep = total[row] - before >= similarity * (1 - 1e-6) * total[row]
+            ends = np.append(0, np.cumsum(np.bincount(row[keep], minlength=piece.num_rows)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.mix(value[keep] + _SEEDS[1]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total), pa.array(np.bincount(row, minlength=piece.num_rows)), lists], ["node", "weight", "shingles", "keys"])
+
+    return texts.select("node", "body").mapInArrow(rarest, "node binary, weight double, shingles long, keys array<long>")
+
+
+def tile_links(tiles: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
+    """(a, b) of tiles (key, i, j, node, block, body): links that join all similar texts of each tile, fewer than it has texts.
+
+    A tile of i < j compares the texts of block i with those of block j, one of i = j those of a block with one another.
+    """
+    held = tiles.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, block = table.column("node").to_pylist(), table.column("block").to_numpy()
+        row, value, weight = _weighed(table.column("body").combine_chunks(), held.value, size)
+        total = np.bincount(row, weight, len(nodes))
+        first = np.searchsorted(row, np.arange(len(nodes) + 1))
+        order = np.argsort(value, kind="stable")
+        inverted, holder, held_weight = value[order], row[order], weight[order]
+        low, high = np.searchsorted(inverted, value, "left"), np.searchsorted(inverted, value, "right")
+        two = block.min() != block.max()
+        root = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out: list[tuple[bytes, bytes]] = []
+        for k in range(len(nodes)):
+            if two and block[k] != block.min():
+                continue
+            own = slice(first[k], first[k + 1])
+            spread = high[own] - low[own]
+            at = np.repeat(high[own] - np.cumsum(spread), spread) + np.arange(spread.sum())
+            shared = np.bincount(holder[at], np.minimum(held_weight[at], np.repeat(weight[own], spread)), len(nodes))
+            alike = shared >= similarity * np.maximum(total + total[k] - shared, 1e-12)
+            for m in np.flatnonzero(alike & ((block != block[k]) if two else (np.arange(len(nodes)) > k))):
+                x, y = find(k), find(int(m))
+                if x != y:
+                    root[x] = y
+                    out.append((nodes[k], nodes[m]))
+        return pa.table({"a": binary_list([x for x, _ in out]), "b": binary_list([x for _, x in out])})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -267,41 +324,65 @@ def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """Of (node, weight, key): the groups of two or more, with their size and their hub, the lightest text."""
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub")).where("n > 1")
-    return stored(members.join(heads.select("key", "n", F.col("hub.node").alias("hub")), "key").select("key", "node", "n", "hub"))
+    """Of (node, weight, key): the groups of two or more, one of those with the same members, with size and hub, the lightest text."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node")) for k in range(2)]
+    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *(h.alias(f"h{k}") for k, h in enumerate(hashes)))
+    heads = heads.where("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "hub")).alias("head"))
+    return stored(members.join(heads.select("head.key", "n", F.col("head.hub.node").alias("hub")), "key").select("key", "node", "weight", "n", "hub"))
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """(a, b, hub): all pairs of small groups, and of large ones each member with its hub."""
-    small = groups.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set("node").alias("nodes")).select(F.explode("nodes").alias("a"), "nodes")
-    small = small.select("a", F.explode(F.filter("nodes", lambda x: x > F.col("a"))).alias("b"), F.lit(False).alias("hub"))
-    large = groups.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("hub"))
-    return small.unionByName(large).distinct()
+def _compared(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int) -> DataFrame:
+    """Similarities of the distinct (a, b). A text b of many pairs is joined to them under several keys, so that no task gets them all."""
+    times = pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT_HUB).cast("int").alias("salts"))
+    hubs = times.join(bodies.withColumnRenamed("node", "b"), "b").select("b", F.col("body").alias("text_b"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salts = times.where("salts > 1").select("b", "salts")  # few: each stands for HOT_HUB pairs or more
+    salted = pairs.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    texts = bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
+    return stored(similarities(salted.join(texts, "a").join(hubs.drop("salts"), ["b", "salt"]), weights, size))
 
 
-def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
-    """(a, b): links that join all similar texts of each group of members (node, weight, key); texts has their (node, body).
+def _unsettled(groups: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
+    """Members of the groups of three or more whose hub is not similar to all of them."""
+    refused = judged.where(F.col("similarity") < similarity).select(F.col("a").alias("node"), F.col("b").alias("hub"))
+    keys = groups.where("n > 2").join(refused, ["node", "hub"]).select("key").distinct()
+    return groups.join(keys, "key")
 
-    Each round compares only pairs that no round before has compared, so the rounds end.
-    """
-    groups = _grouped(members)
-    wanted = stored(groups.select("node").distinct())
-    # an inner join: a semi join would be pushed below the prefilter, and all texts would be shuffled
-    bodies = stored(prefiltered(texts, wanted).join(wanted, "node").groupBy("node").agg(F.first("body").alias("body")))
-    pairs, links, done = stored(_pairs(groups)), None, None
-    while True:
-        compared = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b")
-        judged = stored(similarities(compared, weights, size))
-        found = judged.where(F.col("similarity") >= similarity).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        hubs = judged.where("hub").groupBy("b").agg(F.min("similarity").alias("least")).where(F.col("least") < similarity).select("b")
-        again = judged.where("hub").join(hubs, "b").select(F.col("a").alias("node"), "weight", "b", F.explode("beyond").alias("shingle"))
-        groups = _grouped(stored(again.select("node", "weight", F.xxhash64("b", "shingle").alias("key"))))
-        pairs = stored(_pairs(groups).join(done, ["a", "b", "hub"], "left_anti"))
-        if pairs.isEmpty():
-            return links
+
+def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all similar texts of each group of members (node, weight, key); texts has their (node, body)."""
+    def stars(groups: DataFrame) -> DataFrame:
+        return groups.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+    bands = _grouped(members)
+    wanted = stored(bands.select("node").distinct())
+    # copies are merged map-side before the join; an inner join, as a semi join would be pushed below the prefilter
+    bodies = stored(prefiltered(texts, wanted).groupBy("node").agg(F.first("body").alias("body")).join(wanted, "node"))
+    judged = _compared(stars(bands), bodies, weights, size)
+    links = [judged.where(F.col("similarity") >= similarity).select("a", "b")]
+
+    open_nodes = stored(_unsettled(bands, judged, similarity).select("node").distinct())
+    rare = stored(rare_shingles(bodies.join(open_nodes, "node"), weights, size, similarity))
+    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")))
+    more = _compared(stars(groups).join(judged.select("a", "b"), ["a", "b"], "left_anti"), bodies, weights, size)
+    links.append(more.where(F.col("similarity") >= similarity).select("a", "b"))
+    known = judged.unionByName(more)
+
+    rest = stored(_unsettled(groups, known, similarity))
+    few = rest.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("weight", "node")).alias("all"))  # SMALL at most
+    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    close = (F.col("x.weight") < F.col("y.weight")) | ((F.col("x.weight") == F.col("y.weight")) & (F.col("x.node") < F.col("y.node")))
+    few = few.where(close & (F.col("x.weight") >= similarity * (1 - 1e-6) * F.col("y.weight")))  # similar texts are of similar weight
+    few = few.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    few = few.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    links.append(_compared(few, bodies, weights, size).where(F.col("similarity") >= similarity).select("a", "b"))
+
+    many = rest.where(F.col("n") > SMALL).join(rare.select("node", "shingles"), "node")
+    needed = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = many.join(needed, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    tiled = placed.select("key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiled = tiled.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    links.append(tile_links(tiled.join(bodies, "node"), weights, size, similarity))
+    return stored(reduce(DataFrame.unionByName, links))
 
 
 def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
