@@ -113,27 +113,51 @@ def _splitter(description: dict) -> Callable[[str], list[str]] | None:
 
 def _word_tokenizer(path: str, separator: str, batch: int) -> Chunks:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     mark = tokenizer.token_to_id(separator)
     doubt = separator[:2]
-    cut, plain_word = _splitter(json.loads(tokenizer.to_str())), _PLAIN.fullmatch
+    description = json.loads(tokenizer.to_str())
+    cut, plain_word = _splitter(description), _PLAIN.fullmatch
+
+    def joined_ids(on: Tokenizer, pieces: list[str], between: str, after: str, many: int) -> np.ndarray:
+        texts = [between.join(pieces[at : at + many]) + after for at in range(0, len(pieces), many)]
+        return np.fromiter(chain.from_iterable(e.ids for e in on.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+
+    def marked(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = joined_ids(tokenizer, pieces, separator, separator, batch)
+        return ids[ids != mark], np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1
+
+    def one_by_one(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64)
+
+    # pieces that are normalised and cut already: the same model, cut at blanks, ends told by the suffix of a piece's last token
+    suffix = description["model"].get("end_of_word_suffix")
+    if cut and suffix:
+        bare, vocabulary = Tokenizer.from_file(path), tokenizer.get_vocab()
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def ready(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = joined_ids(bare, pieces, " ", "", 100)
+        return ids, np.diff(np.flatnonzero(ends[ids]), prepend=-1)
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [k for k, c in enumerate(new) if doubt not in c]
-        joined = [separator.join([new[k] for k in plain[at : at + batch]]) + separator for at in range(0, len(plain), batch)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
-        ends = np.flatnonzero(ids == mark)
-        if len(plain) == len(new):
-            return ids[ids != mark], np.diff(ends, prepend=-1) - 1
-        found = [np.zeros(0, np.int32)] * len(new)
-        for k, x in zip(plain, np.split(ids, ends + 1), strict=False):
-            found[k] = x[:-1]
-        odd = [k for k, c in enumerate(new) if doubt in c]
-        for k, e in zip(odd, tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False), strict=True):
-            found[k] = np.asarray(e.ids, dtype=np.int32)
-        return np.concatenate(found), np.array([len(x) for x in found])
+        kind = [2 if doubt in c else 0 if cut and suffix and plain_word(c) else 1 for c in new]
+        if not any(kind):
+            return ready(new)
+        found: list = [None] * len(new)
+        for number, way in enumerate((ready, marked, one_by_one)):
+            some = [k for k, x in enumerate(kind) if x == number]
+            if some:
+                ids, lengths = way([new[k] for k in some])
+                for k, x in zip(some, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                    found[k] = x
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64)
 
     parts = Chunks(encode)
 

@@ -44,7 +44,9 @@ STEP = 8
 #: Places of the table by which a round looks up the ranks of pairs.
 TABLE = 1 << 20
 
-_SPREAD, _SHIFT = np.int64(-7046029254386353131), np.uint64(64 - 20)
+#: Cells of the first count.
+CELLS = 1 << 18
+_SPREAD, _SHIFT = (np.uint32(2654435761), np.uint32(2246822519)), np.uint32(32 - 18)
 _MAGIC, _HEADER = b"RPG1", struct.Struct("<4s6I")
 
 
@@ -116,86 +118,91 @@ class Grammar:
         return Grammar(base, found[0], found[1], found[2], body, found[3], found[4])
 
 
-def _eligible(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places i whose pair (i, i + 1) may be replaced: within a document, and in a row of equal symbols every other one."""
-    may = ~last[:-1]
-    same = (symbols[1:] == symbols[:-1]) & may
-    if same.any():
-        at = np.arange(len(same))
-        opens = same.copy()
-        opens[1:] &= ~same[:-1]
-        first = np.maximum.accumulate(np.where(opens, at, 0))
-        may &= ~(same & ((at - first) % 2 == 1))
-    return may
+def _barred(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places i whose pair (i, i + 1) may not be replaced: at the end of a document, and every second one in a row of equal symbols."""
+    same = np.flatnonzero(symbols[1:] == symbols[:-1])
+    if not len(same):
+        return ends[:-1]
+    same = same[~np.isin(same, ends)]
+    opens = np.ones(len(same), dtype=bool)
+    opens[1:] = same[1:] != same[:-1] + 1
+    first = np.maximum.accumulate(np.where(opens, same, 0))
+    return np.concatenate([ends[:-1], same[(same - first) % 2 == 1]])
+
+
+def _frequent(symbols: np.ndarray, barred: np.ndarray, least_uses: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pairs): the most frequent pairs, best first, and all places where they, or few others, may be replaced.
+
+    Pairs are counted by cells of a hash first. A cell counts at least what its pairs do, so those counted exactly afterwards are all
+    that reach the bound.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    cell = ((symbols[:-1] * _SPREAD[0] + symbols[1:] * _SPREAD[1]) >> _SHIFT).astype(np.int64)
+    cell[barred] = CELLS
+    cells = np.bincount(cell, minlength=CELLS + 1)
+    cells[CELLS] = 0
+    bound, more = int(cells.max()), True
+    while more and bound >= least_uses:
+        bound, more = max(least_uses, bound // STEP), bound // STEP > least_uses
+        places = np.flatnonzero((cells >= bound)[cell])
+        pairs = symbols[places].astype(np.int64) << 32 | symbols[places + 1]
+        ordered = np.sort(pairs)
+        opens = np.flatnonzero(np.diff(ordered, prepend=-1))
+        counts = np.diff(np.append(opens, len(ordered)))
+        often = counts >= bound
+        if often.any():
+            best = ordered[opens[often]]
+            return places, best[np.lexsort((best, -counts[often]))]
+    return none, none
 
 
 def compress(ids: np.ndarray, doc_ids: np.ndarray, least_uses: int = LEAST_USES) -> Grammar:
-    """The grammar of documents of ``doc_ids`` ids each, laid end to end in ``ids``."""
+    """The grammar of documents of ``doc_ids`` ids each, laid end to end in ``ids``; pairs of at least ``least_uses`` (2 or more) uses."""
     base = int(ids.max(initial=0)) + 1
-    symbols = ids.astype(np.int64)
-    last = np.zeros(len(symbols), dtype=bool)
-    ends = np.cumsum(doc_ids)
-    last[ends[doc_ids > 0] - 1] = True
+    symbols = ids.astype(np.uint32)
+    ends = (np.cumsum(doc_ids) - 1)[doc_ids > 0]
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.ones(base, dtype=np.int64)
     while len(symbols) > 1:
-        may = _eligible(symbols, last)
-        code = (symbols[:-1] << 32 | symbols[1:])[may]
-        # cells count every pair that falls into them, so the pairs counted exactly below are all that reach the bound
-        cell = (code * _SPREAD).view(np.uint64) >> _SHIFT
-        cells = np.bincount(cell.view(np.int64), minlength=1)
-        bound = int(cells.max(initial=0))
-        if bound < least_uses:
-            break
-        while True:
-            bound = max(least_uses, bound // STEP)
-            some = np.sort(code[(cells >= bound)[cell.view(np.int64)]])
-            opens = np.flatnonzero(np.diff(some, prepend=-1))
-            counts = np.diff(np.append(opens, len(some)))
-            opens, counts = opens[counts >= bound], counts[counts >= bound]
-            if len(counts) or bound == least_uses:
-                break
-        if not len(counts):
+        places, pairs = _frequent(symbols, _barred(symbols, ends), least_uses)
+        if not len(pairs):
             break
-        best = np.lexsort((some[opens], -counts))
-        pairs = some[opens[best]]
         # as many of the best ranked pairs as a small table over (left, right) holds
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
-        fresh_a, fresh_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-        fresh_a[np.unique(a, return_index=True)[1]] = 1
-        fresh_b[np.unique(b, return_index=True)[1]] = 1
-        n = int(np.searchsorted((np.cumsum(fresh_a) + 1) * (np.cumsum(fresh_b) + 1), TABLE, side="right"))
-        a, b = a[: max(1, n)], b[: max(1, n)]
-        ranks, nowhere = len(a), np.int32(len(a))
+        new_a, new_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        new_a[np.unique(a, return_index=True)[1]] = 1
+        new_b[np.unique(b, return_index=True)[1]] = 1
+        n = max(1, int(np.searchsorted((np.cumsum(new_a) + 1) * (np.cumsum(new_b) + 1), TABLE, side="right")))
+        a, b, ranks = a[:n], b[:n], min(n, len(a))
         in_a, in_b = np.zeros(len(size), dtype=np.int32), np.zeros(len(size), dtype=np.int32)
         for column, index in ((a, in_a), (b, in_b)):
             some = np.unique(column)
             index[some] = np.arange(1, len(some) + 1)
-        table = np.full((int(in_a.max()) + 1, int(in_b.max()) + 1), nowhere, dtype=np.int32)
+        table = np.full((int(in_a.max()) + 1, int(in_b.max()) + 1), ranks, dtype=np.int32)
         table[in_a[a], in_b[b]] = np.arange(ranks)
-        rank = np.full(len(symbols) + 1, nowhere, dtype=np.int32)  # of the pair at i, with one place before and one after
-        found = table.reshape(-1)[in_a[symbols[:-1]] * np.int32(table.shape[1]) + in_b[symbols[1:]]]
-        rank[1:-1] = np.where(may, found, nowhere)
-        at = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
-        at = at[rank[at + 1] < nowhere]
-        rank = rank[at + 1]
+        rank = table.reshape(-1)[in_a[symbols[places]] * np.int32(table.shape[1]) + in_b[symbols[places + 1]]]
+        places, rank = places[rank < ranks], rank[rank < ranks]
+        # a place is replaced unless one next to it, which shares a symbol with it, is ranked better
+        touch = places[1:] == places[:-1] + 1
+        wins = np.ones(len(places), dtype=bool)
+        wins[1:] &= ~touch | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+        places, rank = places[wins], rank[wins]
         used = np.bincount(rank, minlength=ranks) >= least_uses
         used[0] = True  # nothing outranks the first
-        at = at[used[rank]]
-        number = np.cumsum(used) - 1
-        symbols[at] = len(size) + number[rank[used[rank]]]
-        last[at] = last[at + 1]
+        places, rank = places[used[rank]], rank[used[rank]]
+        symbols[places] = len(size) + (np.cumsum(used) - 1)[rank]
         keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        keep[places + 1] = False
+        symbols = symbols[keep]
+        ends = ends - np.searchsorted(places + 1, ends, side="right")
         a, b = a[used], b[used]
         left.append(a)
         right.append(b)
         size = np.concatenate([size, size[a] + size[b]])
-    stops = np.flatnonzero(last) + 1
     doc_symbols = np.zeros(len(doc_ids), dtype=np.int64)
-    doc_symbols[doc_ids > 0] = np.diff(stops, prepend=0)
-    return Grammar(base, np.concatenate(left), np.concatenate(right), size[base:], symbols, doc_symbols, doc_ids)
+    doc_symbols[doc_ids > 0] = np.diff(ends, prepend=-1)
+    return Grammar(base, np.concatenate(left), np.concatenate(right), size[base:], symbols.astype(np.int64), doc_symbols, doc_ids)
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, separator: str, end_id: int, text: str = "text", id: str = "doc_id", shard_ids: int = SHARD_IDS, least_uses: int = LEAST_USES) -> None:
