@@ -21,7 +21,7 @@ class Chunks:
     Forgets all once it knows ``most`` chunks: memory stays bounded, whatever the texts.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 1_300_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self._clear()
 
