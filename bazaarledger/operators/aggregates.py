@@ -19,6 +19,21 @@ def pivot_max(df: DataFrame, key: str, state: str, columns: Mapping[str, tuple[s
     )
 
 
+def largest_per_state(df: DataFrame, key: str, state: str, value: str) -> DataFrame:
+    """(key, state, value), one row each with the largest value, as `pivot_max` would show it: for long texts.
+
+    An aggregate over text sorts the rows that carry it. Here keys and states are counted first, two narrow columns; only the
+    few that occur more than once go through the text aggregate, all others are passed on as they are. NULL states are left out.
+    """
+    rows = df.where(F.col(state).isNotNull()).select(key, state, value)
+    counted = rows.groupBy(F.col(key).alias("__key"), F.col(state).alias("__state")).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = counted.where("__n > 1").drop("__n")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col(state) == F.col("__state"))
+    once = rows.join(repeated, same, "left_anti")
+    largest = rows.join(repeated, same, "left_semi").groupBy(key, state).agg(F.max(value).alias(value))
+    return once.unionByName(largest)
+
+
 def spread_by_type(df: DataFrame, amounts: Mapping[str, tuple[Column, Column]], otherwise: float | None = 0.0) -> DataFrame:
     """Add one column per transaction type: output column -> (type test, amount); other types get `otherwise`."""
     fallback = F.lit(otherwise).cast("double")

@@ -102,6 +102,7 @@ class PromoParams:
     cities: Ids = ()
     reward_ids: Names = ()
     keep_unmatched: bool = False
+    hot_rows: int | None = None  # rows of one order id that a task may take; unset: a plain full join
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -134,6 +135,7 @@ class EarlyPaymentParams:
     fixed_countries: Ids = EARLY_PAYMENT_COUNTRIES
     bank_details: bool = False
     payout_details: bool = False
+    hot_merchant_rows: int | None = None  # rows of one merchant that a task may take; unset: adaptive execution splits
     codes: Codes = field(default_factory=Codes)
 
 
@@ -157,6 +159,7 @@ class PaymentParams:
     auto_accept: YesNo = YesNo.ALL
     bank_details: bool = False
     payout_details: bool = False
+    hot_merchant_rows: int | None = None  # rows of one merchant that a task may take; unset: adaptive execution splits
     retention_days: int = LOG_RETENTION_DAYS
     codes: Codes = field(default_factory=Codes)
 

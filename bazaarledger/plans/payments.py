@@ -20,6 +20,7 @@ from ..functions.scalars import iso_time, local_date, local_time, minor_to_major
 from ..operators.aggregates import sum_list
 from ..operators.explode import parse_once
 from ..operators.joins import enrich, semi_filter
+from ..operators.skew import enrich_hot
 from ..sources.documents import CASHIER_MERCHANT_METADATA, ORDER_METADATA
 from ..sources.logs import log_events
 from ..sources.partitions import YearMonthDay, partition_between
@@ -242,16 +243,22 @@ def account_profile(tables: Tables) -> DataFrame:
     return enrich(rows, tables["legacy_bank"], [("legacy_bank_id", "id")], {"legacy_bank_swift_code": "code"})
 
 
-def with_merchant(tables: Tables, orders: DataFrame, chains: tuple[str, ...]) -> DataFrame:
+def with_merchant(tables: Tables, orders: DataFrame, params: EarlyPaymentParams | PaymentParams) -> DataFrame:
     """Merchant, account and cancel-reason attributes of the order's own merchant."""
+    def attributes(rows: DataFrame, lookup: DataFrame, key: str, taken: tuple[str, ...], how: str) -> DataFrame:
+        on, take = [("merchant_id", key)], {name: name for name in taken}
+        if params.hot_merchant_rows is None:
+            return enrich(rows, lookup, on, take, how)
+        # merchants are counted at the scan of the orders, where that is one column
+        keys = partition_between(tables["order_snapshot"], params.start, params.end, 1, 1).select("merchant_id")
+        return enrich_hot(rows, lookup, on, take, ["order_id"], how, params.hot_merchant_rows, keys)
+
+    chains = params.chains
     profile = merchant_profile(tables).where(one_of(F.col("chain_number"), chains))
     taken = ("merchant_name", "wallet_account_id", "invoice_contact_email", *BANK_COLUMNS)
-    orders = enrich(
-        orders, profile, [("merchant_id", "merchant_id")], {name: name for name in taken}, "inner" if chains else "left"
-    )
-    taken = ("merchant_account_id", *LEGACY_BANK_COLUMNS)
-    orders = enrich(
-        orders, account_profile(tables), [("merchant_id", "identification_card_number")], {name: name for name in taken}
+    orders = attributes(orders, profile, "merchant_id", taken, "inner" if chains else "left")
+    orders = attributes(
+        orders, account_profile(tables), "identification_card_number", ("merchant_account_id", *LEGACY_BANK_COLUMNS), "left"
     )
     return enrich(orders, tables["cancel_reason"], [("cancel_code", "cancel_code")], {"cancel_reason_enum": "cancel_reason_enum"})
 

@@ -49,7 +49,7 @@ def early_payment_report(tables: Tables, params: EarlyPaymentParams) -> DataFram
     payouts = p.own_payouts(tables, params, payout_filter(F.col("currency"), F.col("txtype"), types))
     booking = never_matching(F.col("last_booking_code"), F.col("order_id"))
     rows = enrich(rows, payouts, [(booking, "orderid")], p.PAYOUT_COLUMNS)
-    rows = p.with_merchant(tables, rows, params.chains)
+    rows = p.with_merchant(tables, rows, params)
     return rows.select(
         "city_name", "country_name", "city_id", "country_id", "order_id", F.col("last_booking_code").alias("booking_code"),
         F.col("short_order_number").alias("short_order_id"), "merchant_account_id", "merchant_id", "wallet_account_id",

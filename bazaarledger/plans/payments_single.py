@@ -77,7 +77,7 @@ def single_payment_report(tables: Tables, params: PaymentParams) -> DataFrame:
     payouts = p.own_payouts(tables, params, payout_filter(F.col("currency"), F.col("txtype")))
     payouts = partition_between(payouts, params.start, params.end, 15, 15, YearMonthDay())
     rows = enrich(rows, payouts, [(F.coalesce("last_booking_code", "order_id"), "orderid")], p.PAYOUT_COLUMNS)
-    rows = p.with_merchant(tables, rows, params.chains)
+    rows = p.with_merchant(tables, rows, params)
     return rows.select(
         "city_name", "country_name", "city_id", "country_id", "order_id", F.col("last_booking_code").alias("booking_code"),
         "short_order_number", "merchant_account_id", "merchant_id", "wallet_account_id", "merchant_name",

@@ -11,6 +11,7 @@ from ..functions.report_rules import recon_labels
 from ..functions.scalars import minor_to_major_whole, never_matching
 from ..operators.explode import parse_once
 from ..operators.joins import enrich, reconcile
+from ..operators.skew import reconcile_hot
 from ..sources.partitions import partition_between
 from ..sources.tables import Tables, union_tables
 from .params import PromoParams
@@ -74,10 +75,17 @@ def promo_report(tables: Tables, params: PromoParams) -> DataFrame:
         & one_of(F.col("__reward"), params.reward_ids)
     )
     orders = promo_orders(tables, params)
-    if params.keep_unmatched:
-        rows = reconcile(orders, dashboard.where(wanted), "order_id")
-    else:
-        rows = reconcile(orders, dashboard, "order_id").where(wanted)
+
+    def joined(dashboard: DataFrame) -> DataFrame:
+        if params.hot_rows is None:
+            return reconcile(orders, dashboard, "order_id")
+        # what tells rows of one order id apart, or at least orders it may stand for
+        return reconcile_hot(
+            orders, dashboard, "order_id", ["last_booking_code", "short_order_number", "promo_code"],
+            ["merchant_promo_code_spend", "__day", "__city", "__reward"], params.hot_rows,
+        )
+
+    rows = joined(dashboard.where(wanted)) if params.keep_unmatched else joined(dashboard).where(wanted)
     # orders found only in the dashboard have no merchant: spread their NULL key
     merchant = never_matching(F.col("merchant_id"), F.coalesce("order_id", "right_order_id"))
     rows = enrich(rows, tables["merchant_dim"], [(merchant, "merchant_id")], {"business_name": "business_name"})

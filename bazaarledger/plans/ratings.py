@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import Grain, between_days, bucket_start
@@ -43,37 +43,33 @@ def ratings_report(tables: Tables, params: RatingsParams) -> DataFrame:
         raise ValueError("ratings need a day, week or month grain")
     rows = rated_orders(tables, params)
 
-    # Every order counts once under 'All' and once per listed category. Both grains come from one pass: the row is
-    # expanded into its (level, category) pairs, which the map-side aggregation folds again before the shuffle.
-    def pair(level: str, category):
-        return F.struct(F.lit(level).alias("level"), category.alias("category"))
+    # Every order counts once under 'All' and once per listed category, and may be shown itself. All grains come from one pass: the
+    # row is expanded into one entry per grain. Entries that are counted agree in all keys but these and fold map-side;
+    # an entry that shows its order has a number of its own, and so passes through as a group of one row.
+    period, number = bucket_start(F.col("day"), params.grain), F.monotonically_increasing_id()
 
-    overall = F.array(pair("Aggregated by Ratings", F.lit("All")))
+    def entry(level: str, category: Column, shown: bool = False) -> Column:
+        def only(name: str) -> Column:
+            return F.col(name) if shown or params.by_merchant else typed_null("string")
+
+        return F.struct(
+            F.lit(level).alias("aggregation_level"), category.alias("rating_category"), only("merchant_id").alias("merchant_id"),
+            only("merchant_name").alias("merchant_name"), (F.col("day") if shown else period).alias("period_start"),
+            *[(F.col(source) if shown else typed_null("string")).alias(name) for name, source in (
+                ("order_id", "order_id"), ("specific_feedback", "pax_feedback_for_merchant"))],
+            (F.col("number") if shown else typed_null("bigint")).alias("number"),
+        )
+
+    entries = F.array(entry("Aggregated by Ratings", F.lit("All")))
     listed = F.transform(
-        F.split("pax_rating_category", ";"), lambda part: pair("Aggregated by Ratings and Category", F.trim(part))
+        F.split("pax_rating_category", ";"), lambda part: entry("Aggregated by Ratings and Category", F.trim(part))
     )
-    counted = rows.select(
-        "country_id", "city_id", "business_name",
-        *[
-            F.col(name) if params.by_merchant else typed_null("string").alias(name)
-            for name in ("merchant_id", "merchant_name")
-        ],
-        bucket_start(F.col("day"), params.grain).alias("period_start"),
-        "pax_rating_for_merchant",
-        F.explode(F.when(listed.isNull(), overall).otherwise(F.concat(overall, listed))).alias("grain"),
-    )
-    keys = ["country_id", "city_id", "merchant_id", "merchant_name", "business_name", "period_start", "pax_rating_for_merchant"]
-    report = counted.groupBy(
-        *keys, F.col("grain.level").alias("aggregation_level"), F.col("grain.category").alias("rating_category")
-    ).agg(F.count(F.lit(1)).alias("no_of_orders"))
-    report = report.withColumns({"order_id": typed_null("string"), "specific_feedback": typed_null("string")}).select(*COLUMNS)
-
+    entries = F.when(listed.isNull(), entries).otherwise(F.concat(entries, listed))
     if params.include_orders:
-        detail = rows.where(F.col("pax_rating_for_merchant").isNotNull()).select(
-            "country_id", "city_id", "merchant_id", "merchant_name", "business_name", "order_id",
-            F.col("day").alias("period_start"), F.lit("Order Level").alias("aggregation_level"), "pax_rating_for_merchant",
-            F.col("pax_rating_category").alias("rating_category"),
-            F.col("pax_feedback_for_merchant").alias("specific_feedback"), typed_null("bigint").alias("no_of_orders"),
-        )
-        report = report.unionByName(detail)
-    return report
+        order = F.array(entry("Order Level", F.col("pax_rating_category"), shown=True))
+        entries = F.when(F.col("pax_rating_for_merchant").isNull(), entries).otherwise(F.concat(entries, order))
+    kept = ("country_id", "city_id", "business_name", "pax_rating_for_merchant")
+    expanded = rows.withColumn("number", number).select(*kept, F.inline(entries))
+    report = expanded.groupBy(*expanded.columns).agg(F.count(F.lit(1)).alias("no_of_orders"))
+    orders_shown = F.when(F.col("number").isNull(), F.col("no_of_orders"))
+    return report.withColumn("no_of_orders", orders_shown).select(*COLUMNS)

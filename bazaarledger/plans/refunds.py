@@ -22,9 +22,10 @@ from ..functions.scalars import (
     number,
     typed_null,
 )
-from ..operators.aggregates import customer_history, pivot_max
+from ..operators.aggregates import customer_history, largest_per_state
 from ..operators.explode import explode_keep_empty, explode_list
 from ..operators.joins import enrich, exists_any, semi_filter
+from ..operators.key_filter import KeyFilter
 from ..sources.documents import CASE_POLICY_STATE, CASE_TICKET_STATE, REFUND_ITEMS
 from ..sources.partitions import CompactDate, YearMonthDay, partition_between
 from ..sources.tables import Tables
@@ -178,12 +179,15 @@ def case_items(tables: Tables, params: RefundParams) -> DataFrame:
     states = semi_filter(states, cases, [("case_id", "id")])
     clean = decode_nested_json(F.col("state_data"))
     issue = F.from_json(clean, CASE_TICKET_STATE)["stateData"]["Issue"]
-    states = pivot_max(states, "case_id", "state", {
-        "issue_type": (codes.case_ticket_state, issue), "policy": (codes.case_policy_state, clean),
-    })
+    # the issue is short text taken from its document at once; the policy is a whole document, read from the largest one of the case
+    issues = states.where(F.col("state") == codes.case_ticket_state).groupBy("case_id").agg(F.max(issue).alias("issue_type"))
+    policies = largest_per_state(
+        states.where(F.col("state") == codes.case_policy_state).withColumn("policy", clean), "case_id", "state", "policy"
+    )
     rows = enrich(cases, main_countries(tables), [("region", "code")], {"country_id": "id"})
     rows = rows.where(one_of(F.col("country_id"), params.countries))
-    rows = enrich(rows, states, [("id", "case_id")], {"issue_type": "issue_type", "policy": "policy"})
+    rows = enrich(rows, issues, [("id", "case_id")], {"issue_type": "issue_type"})
+    rows = enrich(rows, policies, [("id", "case_id")], {"policy": "policy"})
     payouts = tables["case_payment"].where(F.col("payout_target_type") == codes.case_payout_target)
     rows = enrich(rows, payouts, [("id", "case_id")], {"payout_amount": "payout_amount"})
     rows = rows.select(
@@ -292,7 +296,8 @@ def item_report(tables: Tables, params: RefundParams) -> DataFrame:
 def refunded_orders(orders: DataFrame, bookings: list[DataFrame], order_ids: list[DataFrame]) -> DataFrame:
     """Orders whose booking or id occurs in one of the refund sources (frames of one key column each).
 
-    Keys meet keys first, two columns of the orders; the wide rows are then cut by order id before any other join.
+    A Bloom filter of the keys drops most other orders at the scan. Keys then meet keys, two columns of the orders; the wide rows are
+    cut by order id before any other join.
     """
     def routed(route: str, frames: list[DataFrame]) -> list[DataFrame]:
         return [df.select(F.lit(route).alias("route"), F.col(df.columns[0]).cast("string").alias("key")) for df in frames]
@@ -302,6 +307,10 @@ def refunded_orders(orders: DataFrame, bookings: list[DataFrame], order_ids: lis
     def keyed(route: str, column: str):
         return F.struct(F.lit(route).alias("route"), F.col(column).cast("string").alias("key"))
 
+    wanted = KeyFilter(keys.select(F.concat("route", "key").alias("key")), "key")
+    orders = wanted.mark(orders, F.concat(F.lit("booking"), "last_booking_code"), "by_booking")
+    orders = wanted.mark(orders, F.concat(F.lit("order"), F.col("order_id").cast("string")), "by_order")
+    orders = orders.where(F.col("by_booking") | F.col("by_order")).drop("by_booking", "by_order")
     own = orders.select("order_id", F.inline(F.array(keyed("booking", "last_booking_code"), keyed("order", "order_id"))))
     found = semi_filter(own.where("key is not null"), keys, [("key", "key"), ("route", "route")])
     return semi_filter(orders, found, [("order_id", "order_id")])

@@ -12,6 +12,7 @@ from ..functions.report_rules import adjustment_amount, adjustment_indicator, ad
 from ..functions.scalars import local_date, never_matching, shift_hours, text_guard, typed_null
 from ..operators.aggregates import net_amount
 from ..operators.joins import enrich, semi_filter
+from ..operators.key_filter import KeyFilter
 from ..sources.partitions import YearMonthDay, partition_between
 from ..sources.tables import Tables
 from .params import SettlementParams
@@ -78,12 +79,20 @@ def settled_transactions(tables: Tables, params: SettlementParams) -> DataFrame:
     )
 
 
-def order_keys(tables: Tables, params: SettlementParams) -> DataFrame:
-    """Orders under both of their keys: plain rows match on booking-or-order, adjusted rows on the order id."""
+def order_keys(tables: Tables, params: SettlementParams, wanted: DataFrame | None = None) -> DataFrame:
+    """Orders under both of their keys: plain rows match on booking-or-order, adjusted rows on the order id.
+
+    `wanted` (route, orderid) are the keys they will be matched with: a Bloom filter of them keeps other orders out of all shuffles.
+    """
     days = params.order_window_days
     orders = partition_between(tables["order_snapshot"], params.start, params.end, days, days)
     orders = partition_between(orders, params.updated_start, params.updated_end, days, days)
     orders = orders.select("order_id", "last_booking_code", "merchant_id", "short_order_number", "created_time", "city_id")
+    if wanted is not None:
+        keys = KeyFilter(wanted.select(F.concat("route", "orderid").alias("key")), "key")
+        orders = keys.mark(orders, F.concat(F.lit("plain"), F.coalesce("last_booking_code", "order_id")), "as_plain")
+        orders = keys.mark(orders, F.concat(F.lit("adjusted"), "order_id"), "as_adjusted")
+        orders = orders.where(F.col("as_plain") | F.col("as_adjusted")).drop("as_plain", "as_adjusted")
     orders = enrich(orders, tables["city"], [("city_id", "id")], {"time_zone": "time_zone", "city_country": "country_id"})
     orders = orders.withColumn("order_create_date_local", local_date(F.col("created_time"), F.col("time_zone")))
     orders = orders.where(between_days(F.col("order_create_date_local"), *widened(params.start, params.end, days, days)))
@@ -143,7 +152,7 @@ def transaction_rows(tables: Tables, params: SettlementParams) -> DataFrame:
     rows = enrich(rows, settled, [("merchantid", "settled_merchant"), ("settlementid", "settled_id")], {
         name: name for name in ("external_settlement_id", "settled_amount", "cashed_out")
     }, "inner")
-    rows = enrich(rows, order_keys(tables, params), [("orderid", "match.key"), ("route", "match.route")], {
+    rows = enrich(rows, order_keys(tables, params, rows.select("route", "orderid")), [("orderid", "match.key"), ("route", "match.route")], {
         "order_id": "order_id", "short_order_number": "short_order_number",
         "order_create_date_local": "order_create_date_local", "order_merchant_id": "merchant_id",
     })

@@ -16,13 +16,15 @@ from bazaarledger.operators.aggregates import (
     collapse_max,
     customer_history,
     derive_metrics,
+    largest_per_state,
     net_amount,
     pivot_max,
     spread_by_type,
     sum_exploded,
     sum_list,
 )
-from bazaarledger.operators.explode import explode_keep_empty, explode_list, explode_or_default
+from bazaarledger.operators.explode import explode_keep_empty, explode_list, explode_or_default, parse_once
+from bazaarledger.operators.intervals import join_valid_binned
 from bazaarledger.operators.joins import (
     enrich,
     exists_any,
@@ -31,6 +33,8 @@ from bazaarledger.operators.joins import (
     reconcile,
     semi_filter,
 )
+from bazaarledger.operators.key_filter import KeyFilter
+from bazaarledger.operators.skew import enrich_hot, reconcile_hot
 from bazaarledger.plans import payments as p
 from bazaarledger.plans import ratings_report
 from bazaarledger.plans.params import RatingsParams
@@ -307,6 +311,80 @@ def validity_half_open(t: Source) -> DataFrame:
     return rows.select("event_id", "name")
 
 
+_PRICE_LISTS = """(select p_partkey % 3 as k, p_partkey as part, timestamp '2024-01-01' + to_minutes(p_partkey * 37 % 40000) as low,
+  case when p_size = 50 then timestamp '2030-01-01' else timestamp '2024-01-01' + to_minutes(p_partkey * 37 % 40000 + p_size * p_size) end as high
+  from part)"""
+
+
+def _price_lists(t: Source) -> DataFrame:
+    """Ranges of minutes to days, and a few without an end, thousands of them under each of three keys."""
+    start = "timestampadd(MINUTE, cast(p_partkey * 37 % 40000 as int), timestamp'2024-01-01')"
+    end = "timestampadd(MINUTE, cast(p_partkey * 37 % 40000 + p_size * p_size as int), timestamp'2024-01-01')"
+    return t.part.selectExpr("p_partkey % 3 as k", "p_partkey as part", f"{start} as low", f"if(p_size = 50, timestamp'2030-01-01', {end}) as high")
+
+
+def _priced(t: Source, join: Callable[..., DataFrame], how: str) -> DataFrame:
+    rows = join(t.events, _price_lists(t), [(col("user_id") % 4, "k")], "ts", "low", "high", {"part": "part"}, "left", how)
+    return rows.groupBy("event_id").agg(F.count("part").alias("parts"), F.sum("part").alias("part_sum"))
+
+
+_PRICED_SQL = f"""select event_id, count(part) as parts, cast(sum(part) as bigint) as part_sum
+from events {{}} join {_PRICE_LISTS} on k = user_id % 4 and ts >= low and ts < high group by 1"""
+
+
+@operator("validity_binned", _PRICED_SQL.format(""))
+def validity_binned(t: Source) -> DataFrame:
+    return _priced(t, join_valid_binned, "inner")
+
+
+@operator("validity_binned_left", _PRICED_SQL.format("left"))
+def validity_binned_left(t: Source) -> DataFrame:
+    return _priced(t, join_valid_binned, "left")
+
+
+@operator("hot_key_lookup", """
+select l_orderkey, l_linenumber, s_name as supplier, n_name as nation from (select *, case when l_linenumber < 3 then 1 else l_suppkey end as k from lineitem)
+left join supplier on s_suppkey = k and s_acctbal > 0 left join nation on n_nationkey = s_nationkey
+""")
+def hot_key_lookup(t: Source) -> DataFrame:
+    lines = t.lineitem.withColumn("k", F.when(col("l_linenumber") < 3, 1).otherwise(col("l_suppkey")))
+    suppliers = enrich(t.supplier.where("s_acctbal > 0"), t.nation, [("s_nationkey", "n_nationkey")], {"nation": "n_name"})
+    rows = enrich_hot(lines, suppliers, [("k", "s_suppkey")], {"supplier": "s_name", "nation": "nation"}, ["l_orderkey", "l_linenumber"], hot_rows=1000)
+    return rows.select("l_orderkey", "l_linenumber", "supplier", "nation")
+
+
+_UNEVEN_SQL = """
+select o_orderkey, c_custkey, c_name from (
+  select o_orderkey, case o_orderpriority when '1-URGENT' then null when '2-HIGH' then 7 when '3-MEDIUM' then -1 else o_custkey end as k from orders)
+full join (select c_custkey, c_name, case when c_mktsegment = 'BUILDING' then null when c_custkey % 50 = 3 then 7 else c_custkey end as k2 from customer) on k = k2
+"""
+
+
+@operator("reconcile_hot_keys", _UNEVEN_SQL)
+def reconcile_hot_keys(t: Source) -> DataFrame:
+    orders = t.orders.select("o_orderkey", F.when(col("o_orderpriority") == "2-HIGH", 7).when(col("o_orderpriority") == "3-MEDIUM", -1).when(
+        col("o_orderpriority") != "1-URGENT", col("o_custkey")).alias("k"))
+    customers = t.customer.select("c_custkey", "c_name", F.when(col("c_custkey") % 50 == 3, 7).otherwise(col("c_custkey")).alias("number"), "c_mktsegment")
+    customers = customers.select("c_custkey", "c_name", F.when(col("c_mktsegment") != "BUILDING", col("number")).alias("k"))
+    return reconcile_hot(orders, customers, "k", ["o_orderkey"], ["c_custkey"], hot_rows=100).select("o_orderkey", "c_custkey", "c_name")
+
+
+@operator("key_filter", """
+select o_orderkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R' and l_quantity > 45)
+""")
+def key_filter_query(t: Source) -> DataFrame:
+    wanted = t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select("l_orderkey")
+    passed = KeyFilter(wanted, "l_orderkey").keep(t.orders, col("o_orderkey"))
+    return semi_filter(passed, wanted, [("o_orderkey", "l_orderkey")]).select("o_orderkey", "o_totalprice")
+
+
+@operator("largest_per_state", """
+select user_id, event_type, max(props) as props from events where event_type is not null group by 1, 2
+""")
+def largest_per_state_query(t: Source) -> DataFrame:
+    return largest_per_state(t.events, "user_id", "event_type", "props")
+
+
 @operator("semi_filter", """
 select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')
 """)
@@ -530,13 +608,25 @@ select l_orderkey, case when count(*) filter (where l_returnflag = 'R') > 0 then
   cast(sum(disc_c) filter (where l_returnflag = 'R') as double) end as discount_minor from ln group by 1"""
 
 
-def _discount_documents(t: Source) -> DataFrame:
+def _discount_texts(t: Source) -> DataFrame:
     from .adapters import line_amounts
 
     item = "if(l_returnflag = 'R', named_struct('amount', disc_c), null)"
-    return line_amounts(t.lineitem).groupBy("l_orderkey").agg(
-        F.expr(f"to_json(named_struct('discounts', collect_list({item})))").alias("doc")
-    ).select("l_orderkey", F.from_json("doc", "discounts ARRAY<STRUCT<amount: STRING>>")["discounts"].alias("discounts"))
+    return line_amounts(t.lineitem).groupBy("l_orderkey").agg(F.expr(f"to_json(named_struct('discounts', collect_list({item})))").alias("doc"))
+
+
+def _discount_documents(t: Source, variant: bool = False) -> DataFrame:
+    rows = _discount_texts(t)
+    if variant:
+        rows = rows.withColumn("doc", F.try_parse_json("doc"))
+    parsed = parse_once(rows, ["l_orderkey"], {"doc": ("doc", "discounts ARRAY<STRUCT<amount: STRING>>")})
+    return parsed.select("l_orderkey", col("doc.discounts").alias("discounts"))
+
+
+@operator("discounts_from_variant", DISCOUNTS_SQL)
+def discounts_from_variant(t: Source) -> DataFrame:
+    rows = _discount_documents(t, variant=True)
+    return rows.select("l_orderkey", sum_list(col("discounts"), lambda d: sc.number(d["amount"])).alias("discount_minor"))
 
 
 @operator("discounts_from_json", DISCOUNTS_SQL)
@@ -646,21 +736,49 @@ def _states(t: Source) -> DataFrame:
 
 
 # --- JSON ------------------------------------------------------------------------------------------------------
-@operator("json_paths", """
+JSON_PATHS_SQL = """
 select event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, user_id as first_user, null::varchar as missing,
   user_id * 100 + event_id % 100 as minor, (user_id * 100 + event_id % 100) // 100 as whole, (user_id * 100 + event_id % 100) / 100 as major,
   (user_id * 100 + event_id % 100) / power(10, 2) as by_exponent, event_type as item_name, event_type = 'click' as is_empty, null::double as malformed,
   round(cast("value" as decimal(18,3)) / 1, 2)::double as rounded, coalesce(case when event_type = 'view' then 'v' end, 'other') as first_known
 from events
-""")
-def json_paths(t: Source) -> DataFrame:
+"""
+
+
+def _event_documents(t: Source) -> DataFrame:
+    """Events with a JSON document that holds further documents as text."""
     inner = F.to_json(F.struct(col("event_type").alias("name"), F.when(
         col("event_type") == "click", F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("subs")))
     doc = F.to_json(F.struct(
         F.array(F.struct(col("user_id").alias("c"))).alias("p"), (col("user_id") * 100 + col("event_id") % 100).alias("minor"),
         F.array(inner).alias("items"),
     ))
-    rows = t.events.select("event_id", "value", "event_type", "props", doc.alias("doc"))
+    return t.events.select("event_id", "value", "event_type", "props", doc.alias("doc"))
+
+
+@operator("variant_paths", JSON_PATHS_SQL)
+def variant_paths(t: Source) -> DataFrame:
+    rows = _event_documents(t).select(
+        "event_id", "value", "event_type", F.try_parse_json("props").alias("props"), F.try_parse_json("doc").alias("doc"),
+        F.try_parse_json(F.substr("doc", F.lit(2))).alias("broken"),
+    )
+    rows = rows.withColumn("first", F.try_parse_json(F.get(F.try_variant_get("doc", "$.items", "array<string>"), F.lit(0))))
+    minor = F.try_variant_get("doc", "$.minor", "string")
+    return rows.select(
+        "event_id", F.try_variant_get("props", "$.k", "bigint").alias("k"), F.try_variant_get("doc", "$.p[0].c", "bigint").alias("first_user"),
+        F.try_variant_get("doc", "$.p[3].c", "string").alias("missing"), F.try_variant_get("doc", "$.minor", "bigint").alias("minor"),
+        sc.minor_to_major_whole(minor).alias("whole"), sc.minor_to_major(minor).alias("major"),
+        sc.minor_to_major(minor, F.lit(2)).alias("by_exponent"), F.try_variant_get("first", "$.name", "string").alias("item_name"),
+        (F.size(F.try_variant_get("first", "$.subs", "array<string>")) == 0).alias("is_empty"),
+        F.try_variant_get("broken", "$.minor", "double").alias("malformed"),
+        F.round(col("value").cast("decimal(18,3)"), 2).alias("rounded"),
+        F.coalesce(F.when(col("event_type") == "view", "v"), F.lit("other")).alias("first_known"),
+    )
+
+
+@operator("json_paths", JSON_PATHS_SQL)
+def json_paths(t: Source) -> DataFrame:
+    rows = _event_documents(t)
     items = F.from_json(sc.decode_nested_json(F.get_json_object("doc", "$.items")), "array<map<string,string>>")
     first = F.get(items, F.lit(0))
     minor = F.get_json_object("doc", "$.minor")

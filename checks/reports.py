@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from bazaarledger.plans.params import (
     YesNo,
 )
 from bazaarledger.session import prepare
+from bazaarledger.sources.bucketed import bucketed
 from bazaarledger.sources.tables import Tables
 
 from .adapters import CODES, REGIONS, marketplace
@@ -62,6 +64,31 @@ def _report(build: Callable[[Tables, object], DataFrame], params: object) -> Que
     return query
 
 
+def _on(adapt: Callable[[Tables], Tables], build: Callable[[Tables, object], DataFrame], params: object) -> Query:
+    """A report on the tables as `adapt` stores or types them."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return comparable(build(adapt(marketplace(prepare(spark), sf_dir)), params))
+
+    return query
+
+
+def by_order(tables: Tables) -> Tables:
+    """Copies of the order facts stored by the keys they are joined on: order id, and booking code for those that have no other."""
+    keys = {"order_snapshot": ["order_id"], "booking_base": ["order_id"], "order_booking": ["booking_code"]}
+    return bucketed(tables, keys, 8, f"by_order_{uuid.uuid4().hex[:12]}_")
+
+
+def with_variants(tables: Tables) -> Tables:
+    """JSON documents of the orders as VARIANT, parsed when stored."""
+    def typed(name: str) -> DataFrame:
+        rows = tables[name]
+        if name != "order_snapshot":
+            return rows
+        return rows.withColumn("snapshot_detail", F.try_parse_json("snapshot_detail"))
+
+    return Tables(typed)
+
+
 def _payment(**switches) -> PaymentParams:
     return PaymentParams(**{
         **PERIOD, "as_of": AS_OF, "codes": CODES, "bank_details": True, "payout_details": True, **switches,
@@ -77,7 +104,16 @@ def report_queries() -> dict[str, Query]:
         return _report(plans.single_payment_report, _payment(**switches))
 
     ratings = {"start": "2024-01-01", "end": "2024-01-31"}
+    early = EarlyPaymentParams(
+        **PERIOD, delivered_start=START, delivered_end=END, bank_details=True, payout_details=True, codes=CODES)
     return {
+        "r01_bucketed": _on(by_order, plans.split_payment_report, _payment()),
+        "r02_bucketed": _on(by_order, plans.single_payment_report, _payment()),
+        "r03_bucketed": _on(by_order, plans.early_payment_report, early),
+        "r01_variant": _on(with_variants, plans.split_payment_report, _payment()),
+        "r11_variant": _on(with_variants, plans.promo_report, PromoParams(regions=REGIONS, **PERIOD)),
+        "r01_hot_merchants": _report(plans.split_payment_report, _payment(hot_merchant_rows=40)),
+        "r11_hot_keys": _report(plans.promo_report, PromoParams(regions=REGIONS, **PERIOD, hot_rows=2)),
         "r01": _report(plans.split_payment_report, _payment()),
         "r02": _report(plans.single_payment_report, _payment()),
         "r03": _report(plans.early_payment_report, EarlyPaymentParams(
