@@ -354,9 +354,8 @@ class Adapters:
 
     def promo_order(self) -> DataFrame:
         nations = self.read("nation").join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        rows = self.read("orders").where("o_custkey % 5 = 0 and o_orderpriority <> '1-URGENT'")
-        return rows.join(nations, F.col("o_custkey") % 25 == F.col("n_nationkey")).selectExpr(
-            "concat('O', o_orderkey) as order_id", "n_regionkey + 1 as country_id", "r_name as country_name",
+        return self.read("orders").join(nations, F.col("o_custkey") % 25 == F.col("n_nationkey")).selectExpr(
+            "if(o_custkey % 5 = 0 and o_orderpriority <> '1-URGENT', concat('O', o_orderkey), null) as order_id", "n_regionkey + 1 as country_id", "r_name as country_name",
             "n_nationkey + 1 as city_id", "n_name as city_name", "date_format(o_orderdate, 'yyyy-MM-dd') as date_local",
             "o_custkey % 50 + 1 as reward_id", "concat('Flag ', o_orderstatus) as product_flag",
             "cast(floor(o_totalprice / 100) as double) as merchant_promo_spend",
@@ -431,8 +430,8 @@ class Adapters:
         )
 
     def refund_approved(self) -> DataFrame:
-        return self.read("lineitem").where("l_returnflag = 'R'").selectExpr(
-            "concat('B', l_orderkey) as booking_code", "cast(floor(l_extendedprice) as double) as credit",
+        return self.read("lineitem").selectExpr(
+            "if(l_returnflag = 'R', concat('B', l_orderkey), null) as booking_code", "cast(floor(l_extendedprice) as double) as credit",
             "l_quantity as balance", "timestampadd(SECOND, cast(l_partkey % 86400 as int), l_shipdate) as tx_time",
             "cast(l_linenumber % 5 as int) as tx_action", f"{pick(CURRENCIES, 'l_suppkey % 6')} as currency", *ymd("l_shipdate"),
         )
@@ -452,10 +451,10 @@ class Adapters:
         )
 
     def case(self) -> DataFrame:
-        return self.read("orders").where("o_orderpriority <> '5-LOW'").selectExpr(
-            "o_orderkey as id", "concat('B', o_orderkey) as booking_code", "o_custkey as passenger_id",
+        return self.read("orders").selectExpr(
+            "if(o_orderpriority <> '5-LOW', o_orderkey, null) as id", "concat('B', o_orderkey) as booking_code", "o_custkey as passenger_id",
             "concat('R', o_custkey % 5) as region", "if(o_orderstatus = 'O', 'Other', 'FoodMissingWrongItem') as category",
-            "cast(o_orderkey as string) as zendesk_ticket_id", f"{CREATED} as created_at",
+            "cast(o_orderkey as string) as zendesk_ticket_id", f"timestampadd(DAY, cast(o_orderkey % 60 as int), {CREATED}) as created_at",
         )
 
     def case_state(self) -> DataFrame:
@@ -485,7 +484,7 @@ class Adapters:
         )
 
     def refund_request(self) -> DataFrame:
-        """One request per order with returned lines; items and sub-items are double-encoded JSON."""
+        """One request per order, of another service where nothing was returned; items and sub-items are double-encoded JSON."""
         sub_item = (
             "named_struct('itemName', concat('Extra ', {n}), 'itemID', concat(l_partkey, '-', {n}),"
             " 'itemPriceInMinorUnits', price_c div {n}, 'itemQuantity', {n},"
@@ -498,14 +497,16 @@ class Adapters:
             " 'TotalItemPriceInMinorUnits', price_c * cast(l_quantity as int), 'TotalRefundPriceInMinorUnits', disc_c,"
             f" 'RefundSubItems', case l_linenumber % 3 when 1 then slice({two}, 1, 0) when 2 then {two} end))"
         )
-        lines = line_amounts(self.read("lineitem").where("l_returnflag = 'R'")).groupBy("l_orderkey").agg(
-            F.min("l_suppkey").alias("m_key"), F.sum("price_c").alias("total_c"), F.expr(f"collect_list({item})").alias("items"),
+        lines = line_amounts(self.read("lineitem")).groupBy("l_orderkey").agg(
+            F.expr("min(if(l_returnflag = 'R', l_suppkey, null))").alias("m_key"),
+            F.expr("sum(if(l_returnflag = 'R', price_c, null))").alias("total_c"),
+            F.expr(f"collect_list(if(l_returnflag = 'R', {item}, null))").alias("items"),
         )
         rows = self.read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        rows = rows.withColumn("created_time", F.expr(CREATED))
+        rows = rows.withColumn("created_time", F.expr(f"timestampadd(DAY, cast(o_orderkey % 40 as int), {CREATED})"))
         return rows.selectExpr(
             "concat('R', o_orderkey) as refund_id", "o_custkey as customer_id", "concat('M', m_key) as vendor_id",
-            "concat('O', o_orderkey) as source_id", "if(o_orderpriority = '5-LOW', 'MART', 'FOOD') as source_category",
+            "concat('O', o_orderkey) as source_id", "if(o_orderpriority = '5-LOW' or m_key is null, 'MART', 'FOOD') as source_category",
             "concat('reason ', o_orderstatus) as reason_code", "o_orderpriority as reason_category_code",
             "date_format(created_time, \"yyyy-MM-dd'T'HH:mm:ss\") as created_at", "total_c as total_refund_amount",
             "total_c div 2 as paid_amount", "total_c div 10 as promo_amount", "total_c div 4 as total_clawback_amount",

@@ -189,13 +189,14 @@ def optional_set(t: Source) -> DataFrame:
 # --- Joins -----------------------------------------------------------------------------------------------------
 @operator("lookup_chain", """
 select o_orderkey, c_name as customer, n_name as nation, r_name as region, n as same_status_orders
-from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey and n_regionkey < 4
+from orders left join customer on c_custkey = o_custkey left join nation on case when n_regionkey < 4 then n_nationkey end = c_nationkey
 left join region on r_regionkey = n_regionkey
 join (select o_custkey as k, o_orderstatus as s, count(*) as n from orders group by 1, 2) on k = o_custkey and s = o_orderstatus
 """)
 def lookup_chain(t: Source) -> DataFrame:
     rows = enrich(t.orders, t.customer, [("o_custkey", "c_custkey")], {"customer": "c_name", "nation_key": "c_nationkey"})
-    rows = enrich(rows, t.nation.where("n_regionkey < 4"), [("nation_key", "n_nationkey")], {
+    known = F.when(col("n_regionkey") < 4, col("n_nationkey"))
+    rows = enrich(rows, t.nation, [("nation_key", known)], {
         "nation": "n_name", "region_key": "n_regionkey",
     })
     rows = enrich(rows, t.region, [("region_key", "r_regionkey")], {"region": "r_name"})
@@ -210,30 +211,30 @@ def lookup_chain(t: Source) -> DataFrame:
 select 'right' as shape, n_name as k, s_name as v from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 5000
 union all
 select 'narrowed', cast(o_orderkey as varchar), c_name from orders left join customer on c_custkey = o_custkey and c_acctbal > 5000
-  where c_custkey % 2 = 0
+  where c_custkey is not null
 """)
 def right_and_narrowed_outer(t: Source) -> DataFrame:
-    rich = t.supplier.where("s_acctbal > 5000")
-    right = rich.join(t.nation, col("s_nationkey") == col("n_nationkey"), "right").select(
+    home = F.when(col("s_acctbal") > 5000, col("s_nationkey"))
+    right = t.supplier.join(t.nation, home == col("n_nationkey"), "right").select(
         F.lit("right").alias("shape"), col("n_name").alias("k"), col("s_name").alias("v")
     )
     kept = t.orders.join(
         t.customer, (col("c_custkey") == col("o_custkey")) & (col("c_acctbal") > 5000), "left"
-    ).where("c_custkey % 2 = 0")
+    ).where("c_custkey is not null")
     return right.unionByName(kept.select(
         F.lit("narrowed").alias("shape"), col("o_orderkey").cast("string").alias("k"), col("c_name").alias("v")))
 
 
 @operator("reconcile_full_outer", """
-select o_orderkey as order_key, l_orderkey as right_order_key, o_totalprice as total, returned,
-  case when l_orderkey is null then 'Not flagged in dashboard' else 'Returned' end as indicator,
-  case when o_orderkey is null then 'Not in orders' else 'In orders' end as indicator_2
-from (select * from orders where o_orderstatus <> 'P') full join
-  (select l_orderkey, count(*) as returned from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey
+select k as order_key, k2 as right_order_key, o_totalprice as total, returned,
+  case when k2 is null then 'Not flagged in dashboard' else 'Returned' end as indicator,
+  case when k is null then 'Not in orders' else 'In orders' end as indicator_2
+from (select case when o_orderstatus <> 'P' then o_orderkey end as k, o_totalprice from orders) full join
+  (select case when l_returnflag = 'R' then l_orderkey end as k2, count(*) as returned from lineitem group by 1) on k = k2
 """)
 def reconcile_full_outer(t: Source) -> DataFrame:
-    left = t.orders.where("o_orderstatus <> 'P'").select(col("o_orderkey").alias("order_key"), col("o_totalprice").alias("total"))
-    right = t.lineitem.where("l_returnflag = 'R'").groupBy(col("l_orderkey").alias("order_key")).agg(
+    left = t.orders.select(F.when(col("o_orderstatus") != "P", col("o_orderkey")).alias("order_key"), col("o_totalprice").alias("total"))
+    right = t.lineitem.groupBy(F.when(col("l_returnflag") == "R", col("l_orderkey")).alias("order_key")).agg(
         F.count(F.lit(1)).alias("returned")
     )
     rows = reconcile(left, right, "order_key")
@@ -395,14 +396,15 @@ def semi_filter_query(t: Source) -> DataFrame:
 
 @operator("exists_any", """
 select o_orderkey, returned, c_name as rich_customer from orders
-left join (select l_orderkey, count(*) as returned from lineitem where l_returnflag = 'R' group by 1) on l_orderkey = o_orderkey
-left join (select * from customer where c_acctbal > 8000) on c_custkey = o_custkey
-where l_orderkey is not null or c_custkey is not null
+left join (select case when l_returnflag = 'R' then l_orderkey end as rk, count(*) as returned from lineitem group by 1) on rk = o_orderkey
+left join (select case when c_acctbal > 8000 then c_custkey end as ck, c_name from customer) on ck = o_custkey
+where rk is not null or ck is not null
 """)
 def exists_any_query(t: Source) -> DataFrame:
-    returned = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("returned"))
-    rows = enrich(t.orders, returned, [("o_orderkey", "l_orderkey")], {"returned": "returned"})
-    rows = enrich(rows, t.customer.where("c_acctbal > 8000"), [("o_custkey", "c_custkey")], {"rich_customer": "c_name"})
+    returned = t.lineitem.groupBy(F.when(col("l_returnflag") == "R", col("l_orderkey")).alias("rk")).agg(F.count(F.lit(1)).alias("returned"))
+    rows = enrich(t.orders, returned, [("o_orderkey", "rk")], {"returned": "returned"})
+    rich = F.when(col("c_acctbal") > 8000, col("c_custkey"))
+    rows = enrich(rows, t.customer, [("o_custkey", rich)], {"rich_customer": "c_name"})
     return rows.where(exists_any([col("returned"), col("rich_customer")])).select("o_orderkey", "returned", "rich_customer")
 
 
@@ -663,9 +665,9 @@ operator("ratings_grains", ro.r12(True, "day", True, False))(
   select l_orderkey, l_suppkey, sum(floor(l_extendedprice)) as net, sum(case when l_returnflag = 'R' then floor(l_extendedprice) else 0 end) as adj
   from lineitem group by 1, 2)
 select l_orderkey, l_suppkey, net, 'order details' as record_type, o_orderstatus as status from tx
-  left join (select * from orders where o_orderpriority <> '5-LOW') on o_orderkey = l_orderkey where adj = 0
+  left join (select case when o_orderpriority <> '5-LOW' then o_orderkey end as k, o_orderstatus from orders) on k = l_orderkey where adj = 0
 union all select l_orderkey, l_suppkey, net, 'order details', o_orderstatus from tx
-  left join (select * from orders where o_orderpriority <> '5-LOW') on o_orderkey + 1 = l_orderkey where adj <> 0
+  left join (select case when o_orderpriority <> '5-LOW' then o_orderkey end as k, o_orderstatus from orders) on k + 1 = l_orderkey where adj <> 0
 union all select null, l_suppkey, sum(floor(l_extendedprice)), 'total', null from lineitem group by 2
 """)
 def settlement_rows(t: Source) -> DataFrame:
@@ -673,9 +675,10 @@ def settlement_rows(t: Source) -> DataFrame:
     tx = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
         F.sum(amount).alias("net"), F.sum(F.when(col("l_returnflag") == "R", amount).otherwise(0)).alias("adj")
     ).withColumn("route", report_rules.adjustment_route(col("adj")))
-    keyed = t.orders.where("o_orderpriority <> '5-LOW'").select("o_orderstatus", F.explode(F.array(
-        F.struct(F.lit("plain").alias("route"), col("o_orderkey").alias("key")),
-        F.struct(F.lit("adjusted").alias("route"), (col("o_orderkey") + 1).alias("key")),
+    known = F.when(col("o_orderpriority") != "5-LOW", col("o_orderkey"))
+    keyed = t.orders.select("o_orderstatus", F.explode(F.array(
+        F.struct(F.lit("plain").alias("route"), known.alias("key")),
+        F.struct(F.lit("adjusted").alias("route"), (known + 1).alias("key")),
     )).alias("m"))
     detail = enrich(tx, keyed, [("l_orderkey", "m.key"), ("route", "m.route")], {"status": "o_orderstatus"}).select(
         "l_orderkey", "l_suppkey", "net", F.lit("order details").alias("record_type"), "status"

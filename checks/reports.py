@@ -42,6 +42,7 @@ BOTH = frozenset(RefundSource)
 REQUEST = frozenset({RefundSource.REQUEST})
 CASE = frozenset({RefundSource.CASE})
 PERIOD = {"start": START, "end": END}
+MONTH = {"start": "1996-03-01", "end": "1996-03-31"}
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -78,6 +79,17 @@ def by_order(tables: Tables) -> Tables:
     return bucketed(tables, keys, 8, f"by_order_{uuid.uuid4().hex[:12]}_")
 
 
+def by_ledger_day(tables: Tables) -> Tables:
+    """The cashier ledger in partitions of the day it was written, not stamped into one week."""
+    def stamped(name: str) -> DataFrame:
+        rows = tables[name]
+        if name != "cashier_payment":
+            return rows
+        return rows.withColumns({part: take("created_at").cast("string") for part, take in (("year", F.year), ("month", F.month), ("day", F.day))})
+
+    return Tables(stamped)
+
+
 def with_variants(tables: Tables) -> Tables:
     """JSON documents of the orders as VARIANT, parsed when stored."""
     def typed(name: str) -> DataFrame:
@@ -103,6 +115,9 @@ def report_queries() -> dict[str, Query]:
     def single(**switches) -> Query:
         return _report(plans.single_payment_report, _payment(**switches))
 
+    def split(**switches) -> Query:
+        return _report(plans.split_payment_report, _payment(**switches))
+
     ratings = {"start": "2024-01-01", "end": "2024-01-31"}
     early = EarlyPaymentParams(
         **PERIOD, delivered_start=START, delivered_end=END, bank_details=True, payout_details=True, codes=CODES)
@@ -134,7 +149,25 @@ def report_queries() -> dict[str, Query]:
         "r12_brand_completed": _report(plans.ratings_report, RatingsParams(
             grain=Grain.MONTH, **ratings, by_merchant=False, completed_only=True)),
         "r13": _report(plans.settlement_report, SettlementParams(**PERIOD)),
-        "r02_month": single(start="1996-03-01", end="1996-03-31"),
+        "r01_month": _on(by_ledger_day, plans.split_payment_report, _payment(**MONTH, mart_range_days=2)),
+        "r03_month": _report(plans.early_payment_report, EarlyPaymentParams(
+            **MONTH, delivered_start=MONTH["start"], delivered_end=MONTH["end"], bank_details=True, payout_details=True, codes=CODES,
+            fixed_countries=())),
+        "r04_month": _report(plans.refund_report, RefundParams(sources=BOTH, grain=RefundGrain.ORDER, **MONTH)),
+        "r05_month": _report(plans.refund_report, RefundParams(sources=REQUEST, grain=RefundGrain.ITEM, **MONTH)),
+        "r07_month": _report(plans.refund_report, RefundParams(sources=CASE, grain=RefundGrain.ITEM, **MONTH)),
+        "r09_month": _on(by_ledger_day, plans.cash_report, CashParams(**MONTH)),
+        "r11_month": _report(plans.promo_report, PromoParams(regions=REGIONS, **MONTH)),
+        "r11_keep_unmatched_month": _report(plans.promo_report, PromoParams(regions=REGIONS, **MONTH, keep_unmatched=True)),
+        "r13_month": _report(plans.settlement_report, SettlementParams(start="1997-12-05", end="1998-01-04")),
+        "r01_takeaway_open": split(delivery=Delivery.TAKEAWAY, completion=Completion.EXCLUDE_COMPLETED),
+        "r01_pos_market_automatic": split(
+            pos_integrated=YesNo.YES, business_line=BusinessLine.MARKET, auto_accept=YesNo.YES),
+        "r01_kitchens_manual_delivery": split(
+            delivery=Delivery.DELIVERY, pos_integrated=YesNo.NO, business_line=BusinessLine.KITCHEN, auto_accept=YesNo.NO),
+        "r01_some_orders": split(
+            order_ids=tuple(f"O{n}" for n in range(400)), bank_details=False, payout_details=False),
+        "r02_month": single(**MONTH),
         "r02_takeaway_completed": single(delivery=Delivery.TAKEAWAY, completion=Completion.COMPLETED_ONLY),
         "r02_delivery_open": single(delivery=Delivery.DELIVERY, completion=Completion.EXCLUDE_COMPLETED),
         "r02_pos_market_automatic": single(
