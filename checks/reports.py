@@ -30,6 +30,7 @@ from bazaarledger.plans.params import (
 )
 from bazaarledger.session import prepare
 from bazaarledger.sources.bucketed import bucketed
+from bazaarledger.sources.partitions import CompactDate, DateText, YearMonthDay
 from bazaarledger.sources.tables import Tables
 
 from .adapters import CODES, REGIONS, marketplace
@@ -90,6 +91,36 @@ def by_ledger_day(tables: Tables) -> Tables:
     return Tables(stamped)
 
 
+#: Partitioned inputs: the column that holds the order's number, and how it is dealt over the edges of a window (`on_edges`).
+DEALT = {
+    "app_log": ("properties['orderID']", 1, YearMonthDay()), "refund_approved": ("booking_code", 1, YearMonthDay()),
+    "driver_ledger": ("method", 1, YearMonthDay()), "wallet_tx": ("orderid", 4, YearMonthDay()),
+    "payment_booking": ("booking_code", 4, YearMonthDay()), "order_booking": ("booking_code", 4, DateText()),
+    "cashier_payment": ("order_id", 16, YearMonthDay()), "ticket": ("booking_code", 16, CompactDate()),
+    "order_snapshot": ("order_id", 64, DateText()), "refund_request": ("source_id", 256, YearMonthDay()),
+}
+
+
+def on_edges(**windows: tuple[int, int]) -> Callable[[Tables], Tables]:
+    """Tables whose partitions all lie on the edges of their windows, so that moving a window by one day changes the report.
+
+    `windows` gives, by table, the days before the period's first day and after its last one. A row of order number n is put, by n // ways % 4,
+    into the partition of the day before the window, its first or last day, or the day after it.
+    """
+    def stamped(tables: Tables, name: str) -> DataFrame:
+        column, ways, key = DEALT[name]
+        before, after = windows[name]
+        last = START if name == "cashier_payment" and before == 10 else END  # that window lies around the first day
+        first_day, last_day = F.date_sub(F.lit(START).cast("date"), before), F.date_add(F.lit(last).cast("date"), after)
+        place = F.pmod(F.floor(F.substr(F.expr(column), F.lit(2)).cast("bigint") / ways), F.lit(4))
+        day = F.when(place == 0, F.date_sub(first_day, 1)).when(place == 1, first_day).when(place == 2, last_day).when(place == 3, F.date_add(last_day, 1))
+        if isinstance(key, YearMonthDay):
+            return tables[name].withColumns({part: take(day).cast("string") for part, take in (("year", F.year), ("month", F.month), ("day", F.day))})
+        return tables[name].withColumn("partition_date", F.date_format(day, "yyyyMMdd" if isinstance(key, CompactDate) else "yyyy-MM-dd"))
+
+    return lambda tables: Tables(lambda name: stamped(tables, name) if name in windows else tables[name])
+
+
 def with_variants(tables: Tables) -> Tables:
     """JSON documents of the orders as VARIANT, parsed when stored."""
     def typed(name: str) -> DataFrame:
@@ -119,6 +150,8 @@ def report_queries() -> dict[str, Query]:
         return _report(plans.split_payment_report, _payment(**switches))
 
     ratings = {"start": "2024-01-01", "end": "2024-01-31"}
+    refund_edges = on_edges(
+        order_snapshot=(45, 1), refund_approved=(1, 1), payment_booking=(30, 1), ticket=(14, 1), refund_request=(30, 1))
     early = EarlyPaymentParams(
         **PERIOD, delivered_start=START, delivered_end=END, bank_details=True, payout_details=True, codes=CODES)
     return {
@@ -160,6 +193,16 @@ def report_queries() -> dict[str, Query]:
         "r11_month": _report(plans.promo_report, PromoParams(regions=REGIONS, **MONTH)),
         "r11_keep_unmatched_month": _report(plans.promo_report, PromoParams(regions=REGIONS, **MONTH, keep_unmatched=True)),
         "r13_month": _report(plans.settlement_report, SettlementParams(start="1997-12-05", end="1998-01-04")),
+        "r01_edges": _on(
+            on_edges(app_log=(3, 0), wallet_tx=(15, 15), cashier_payment=(10, 10), order_snapshot=(1, 1)), plans.split_payment_report, _payment()),
+        "r02_edges": _on(on_edges(app_log=(3, 0), wallet_tx=(15, 15), order_snapshot=(1, 1)), plans.single_payment_report, _payment()),
+        "r03_edges": _on(on_edges(app_log=(3, 0), order_snapshot=(1, 1)), plans.early_payment_report, early),
+        "r04_edges": _on(refund_edges, plans.refund_report, _refund(BOTH, RefundGrain.ORDER)),
+        "r05_edges": _on(refund_edges, plans.refund_report, _refund(REQUEST, RefundGrain.ITEM)),
+        "r07_edges": _on(refund_edges, plans.refund_report, _refund(CASE, RefundGrain.ITEM)),
+        "r09_edges": _on(on_edges(cashier_payment=(1, 1), order_booking=(1, 1), driver_ledger=(1, 1)), plans.cash_report, CashParams(**PERIOD)),
+        "r13_edges": _on(on_edges(wallet_tx=(2, 2), order_snapshot=(30, 30)), plans.settlement_report, SettlementParams(
+            **PERIOD, own_partner_only=False, search_merchant=True, order_window_days=30)),
         "r01_takeaway_open": split(delivery=Delivery.TAKEAWAY, completion=Completion.EXCLUDE_COMPLETED),
         "r01_pos_market_automatic": split(
             pos_integrated=YesNo.YES, business_line=BusinessLine.MARKET, auto_accept=YesNo.YES),
