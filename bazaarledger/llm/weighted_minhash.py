@@ -7,9 +7,10 @@
 3. Texts that share a band are compared by the exact weighted Jaccard similarity of the whole texts: each member with the lightest,
    the hub. A hub that accepts all members has joined them, and the band is settled, however large. The members of all other bands are
    open. Two similar texts share a shingle among the rarest of each, those that hold a little over 1 - ``SIMILARITY`` of its weight
-   (prefix filter), so all links between open texts lie in the groups by such shingles. Groups of the same members count once; those
-   that their hub does not settle either are compared whole: all pairs of a few texts, or tiles of blocks of texts of bounded size.
-   So no link between two texts that share a band is lost, and the number of steps is fixed.
+   (prefix filter), so all links between open texts lie in the groups by such shingles. Groups of the same members count once, and
+   their hubs are tried as well. What is left are groups whose members are not all in one class by the links found so far:
+   members outside the group's main class are compared with all its members, in tiles of blocks of texts of bounded size.
+   So no link that joins classes is lost among texts that share a band, and the number of steps is fixed.
 4. Verified links are contracted to classes by rounds of hashed minimum labels.
 """
 
@@ -36,8 +37,6 @@ SKETCH_SLICE = 1 << 15
 #: Share of a shingle's weight that its IDF decides; the rest is the same for all shingles.
 IDF_SHARE = 0.25
 
-#: All pairs are listed in groups of up to so many texts; larger ones are compared in tiles.
-SMALL = 16
 #: Texts, and shingles, of one block of a tile; a tile holds two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
 #: A hub with more pairs than this is joined to them under several salted keys.
@@ -238,21 +237,20 @@ def rare_shingles(texts: DataFrame, weights: Weights, size: int, similarity: flo
 
 
 def tile_links(tiles: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
-    """(a, b) of tiles (key, i, j, node, block, body): links that join all similar texts of each tile, fewer than it has texts.
-
-    A tile of i < j compares the texts of block i with those of block j, one of i = j those of a block with one another.
-    """
+    """(a, b) of tiles (key, i, j, asks, node, body): links that join the texts that ask with all similar ones of their tile, fewer than
+    it has texts."""
     held = tiles.sparkSession.sparkContext.broadcast(weights)
 
     def compare(table: pa.Table) -> pa.Table:
-        nodes, block = table.column("node").to_pylist(), table.column("block").to_numpy()
+        asks = table.column("asks").to_numpy()
+        nodes = table.column("node").to_pylist()
         row, value, weight = _weighed(table.column("body").combine_chunks(), held.value, size)
         total = np.bincount(row, weight, len(nodes))
         first = np.searchsorted(row, np.arange(len(nodes) + 1))
         order = np.argsort(value, kind="stable")
+        order = order[~asks[row[order]]]
         inverted, holder, held_weight = value[order], row[order], weight[order]
-        low, high = np.searchsorted(inverted, value, "left"), np.searchsorted(inverted, value, "right")
-        two = block.min() != block.max()
+        name = np.unique(np.array(nodes, dtype=object).astype("S16"), return_inverse=True)[1] if len(nodes) else np.zeros(0, np.int64)
         root = list(range(len(nodes)))
 
         def find(x: int) -> int:
@@ -262,16 +260,15 @@ def tile_links(tiles: DataFrame, weights: Weights, size: int, similarity: float)
             return x
 
         out: list[tuple[bytes, bytes]] = []
-        for k in range(len(nodes)):
-            if two and block[k] != block.min():
-                continue
+        for k in np.flatnonzero(asks):
             own = slice(first[k], first[k + 1])
-            spread = high[own] - low[own]
-            at = np.repeat(high[own] - np.cumsum(spread), spread) + np.arange(spread.sum())
+            low, high = np.searchsorted(inverted, value[own], "left"), np.searchsorted(inverted, value[own], "right")
+            spread = high - low
+            at = np.repeat(high - np.cumsum(spread), spread) + np.arange(spread.sum())
             shared = np.bincount(holder[at], np.minimum(held_weight[at], np.repeat(weight[own], spread)), len(nodes))
-            alike = shared >= similarity * np.maximum(total + total[k] - shared, 1e-12)
-            for m in np.flatnonzero(alike & ((block != block[k]) if two else (np.arange(len(nodes)) > k))):
-                x, y = find(k), find(int(m))
+            alike = (shared >= similarity * np.maximum(total + total[k] - shared, 1e-12)) & ~asks & (name != name[k])
+            for m in np.flatnonzero(alike):
+                x, y = find(int(k)), find(int(m))
                 if x != y:
                     root[x] = y
                     out.append((nodes[k], nodes[m]))
@@ -365,24 +362,32 @@ def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size:
     groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")))
     more = _compared(stars(groups).join(judged.select("a", "b"), ["a", "b"], "left_anti"), bodies, weights, size)
     links.append(more.where(F.col("similarity") >= similarity).select("a", "b"))
-    known = judged.unionByName(more)
-
-    rest = stored(_unsettled(groups, known, similarity))
-    few = rest.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("weight", "node")).alias("all"))  # SMALL at most
-    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    close = (F.col("x.weight") < F.col("y.weight")) | ((F.col("x.weight") == F.col("y.weight")) & (F.col("x.node") < F.col("y.node")))
-    few = few.where(close & (F.col("x.weight") >= similarity * (1 - 1e-6) * F.col("y.weight")))  # similar texts are of similar weight
-    few = few.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    few = few.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links.append(_compared(few, bodies, weights, size).where(F.col("similarity") >= similarity).select("a", "b"))
-
-    many = rest.where(F.col("n") > SMALL).join(rare.select("node", "shingles"), "node")
-    needed = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = many.join(needed, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    tiled = placed.select("key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiled = tiled.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
-    links.append(tile_links(tiled.join(bodies, "node"), weights, size, similarity))
-    return stored(reduce(DataFrame.unionByName, links))
+    links = stored(reduce(DataFrame.unionByName, links))
+
+    labels = classes(links)
+    rest = _unsettled(groups, judged.unionByName(more), similarity).join(labels, "node", "left").join(rare.select("node", "shingles"), "node")
+    rest = stored(rest.select("key", "node", "shingles", F.coalesce("label", "node").alias("label")))
+    main = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    main = main.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("all"),
+        (F.sum("n") - F.max("n")).alias("n_other"), F.sum("shingles").alias("most_other"),
+    ).where("n_other > 0")
+
+    def blocks(texts: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(texts) / BLOCK_TEXTS), F.ceil(F.col(shingles) * F.col(texts) / F.col("n") / BLOCK_SHINGLES)).cast("int")
+
+    def block(ways: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(ways)).cast("int")
+
+    def every(ways: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
+
+    main = main.select("key", "main", blocks("n_other", "most_other").alias("rows"), blocks("n", "all").alias("columns"))
+    placed = rest.join(main, "key")
+    asking = placed.where("label != main").select("key", block("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("asks"), "node")
+    asked = placed.select("key", every("rows").alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"), "node")
+    tiles = asking.unionByName(asked).join(bodies, "node")
+    return links.unionByName(tile_links(tiles, weights, size, similarity))
 
 
 def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
