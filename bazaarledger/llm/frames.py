@@ -30,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = made.get() if made.isDefined() else f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

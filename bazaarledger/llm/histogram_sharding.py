@@ -26,7 +26,6 @@ from bazaarledger.llm.frames import fresh, ship, stored
 TOLERANCE = 0.05
 #: Probes per open splitter and round; with many splitters open fewer, 3 at least, so that a round's histogram stays bounded.
 PROBES, PROBES_A_ROUND = 64, 65_536
-MOST_ROUNDS = 40
 MOST_KEY = 2**64 - 1
 
 Bounds = list[tuple[int, int]]  # a splitter (hash, tie): rows below it belong to the runs before
@@ -85,7 +84,7 @@ def splitters(keys: DataFrame, shards: int, parts: int, tolerance: float = TOLER
     allowed = [total / shards * (tolerance if e else max(tolerance, 0.25 / parts)) for e in exact]
     open_ = set(range(len(targets)))
     best: list[tuple[float, tuple[int, int], int]] = [(float("inf"), (0, 0), 0)] * len(targets)
-    for _ in range(MOST_ROUNDS):
+    while open_:  # each round cuts the range of every open splitter to a quarter or less, until no probe lies inside
         probes: set[tuple[int, int]] = set()
         many = max(3, min(PROBES, PROBES_A_ROUND // max(1, len(open_))))
         for k in open_:
@@ -116,8 +115,6 @@ def splitters(keys: DataFrame, shards: int, parts: int, tolerance: float = TOLER
                 open_.discard(k)
             elif low[k][0][0] == high[k][0][0] and high[k][0][1] - low[k][0][1] <= 1:
                 open_.discard(k)
-        if not open_:
-            break
     ordered = [b[1:] for b in best]
     for k in (k for k in range(len(ordered)) if exact[k]):  # a shard's own splitters stay between those around the shard
         for j in range(max(0, k - parts + 1), k):
@@ -170,5 +167,6 @@ def shard(df: DataFrame, shards: int, size: str, text: str = "text", id: str = "
             yield pa.RecordBatch.from_arrays([*columns, pa.array(runs // parts, pa.int32()), pa.array(slots)], [*keep, "shard", "slot"])
 
     keep = df.columns
-    placed = keyed.mapInArrow(place, schema).repartition(shards * parts, run).sortWithinPartitions(run, h, t)
+    # each run is a partition of its own: by its number, not by a hash of it
+    placed = keyed.mapInArrow(place, schema).repartitionById(shards * parts, run).sortWithinPartitions(run, h, t)
     return placed.mapInArrow(number, StructType([*df.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())]))

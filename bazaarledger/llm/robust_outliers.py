@@ -31,9 +31,8 @@ DIMENSIONS = list(LEAST_SPREAD)
 SUBSET, CONSISTENCY = 0.75, 1.41
 #: The 0.999 quantile of chi2(5).
 CUTOFF = 20.515
-#: Steps end when no group's log determinant changes by more than this; approximate quantiles could alternate for ever, hence a bound.
+#: Steps end when no group's log determinant falls by more than this. It can't fall for ever, as every statistic has a least spread.
 CONVERGED = 1e-6
-MOST_STEPS = 100
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -139,18 +138,24 @@ def group_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     for i, j in _pairs():
         value = (1.4826 * F.col(f"s_{i}")) ** 2 + LEAST_SPREAD[DIMENSIONS[i]] ** 2 if i == j else F.lit(0.0)
         spread = spread.withColumn(f"c_{i}_{j}", value)
-    groups = stored(_cholesky(spread))
-    for _ in range(MOST_STEPS):
+    columns = [*keys, *(f"m_{i}" for i in range(len(DIMENSIONS))), *(f"f_{i}_{j}" for i, j in _pairs()), "log_det"]
+    groups, started = stored(_cholesky(spread).select(*columns)), False
+    while True:
         far = stored(_distances(rows, groups, keys, "distance"))
         limit = far.groupBy(*keys).agg(F.percentile_approx("distance", SUBSET).alias("limit"))
         limit = limit.select(*(F.col(k).alias(f"group_{k}") for k in keys), "limit")
         subset = far.join(limit, condition).where("distance <= limit")
         before = groups.select(*(F.col(k).alias(f"group_{k}") for k in keys), F.col("log_det").alias("before"))
-        groups = stored(_cholesky(subset.groupBy(*keys).agg(*_estimates())))
-        change = groups.join(before, condition).agg(F.max(F.abs(F.col("log_det") - F.col("before")))).first()[0]
-        if change is None or change < CONVERGED:
-            break
-    return groups
+        after = _cholesky(subset.groupBy(*keys).agg(*_estimates())).select(*columns)
+        if not started:  # the start is no estimate of a subset yet
+            groups, started = stored(after), True
+            continue
+        # exact quantiles would never raise a determinant; where approximate ones do, the group keeps the estimates it had
+        best = groups.unionByName(after).groupBy(*keys).agg(F.min_by(F.struct(*columns), "log_det").alias("best"))
+        groups = stored(best.select("best.*"))
+        fall = groups.join(before, condition).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        if fall is None or fall < CONVERGED:
+            return groups
 
 
 def quality_verdicts(df: DataFrame, text: str = "text", id: str = "doc_id", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
