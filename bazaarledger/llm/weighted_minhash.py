@@ -39,8 +39,9 @@ IDF_SHARE = 0.25
 
 #: Texts, and shingles, of one block of a tile; a tile holds two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
-#: A hub with more pairs than this is joined to them under several salted keys.
-HOT_HUB = 500
+
+#: Links of a task while classes are formed.
+EDGES_A_TASK = 200_000
 
 #: Bits of the filter that keeps texts without candidates out of the shuffle.
 FILTER_BITS = 1 << 26
@@ -134,7 +135,7 @@ class Weights:
         self.cells, counts, docs, total = cells, np.zeros((SKETCH_ROWS, cells), dtype=np.float64), 0, 0
         step = min(SKETCH_SLICE, cells)
         flat = counts.reshape(-1, step)
-        for part, raw, n, m in sketch.toLocalIterator():
+        for part, raw, n, m in sketch.collect():  # one row per slice, 16 MiB in all
             flat[part] = np.frombuffer(raw, dtype=np.int64)
             docs, total = docs + n, total + m
         docs = max(docs, 1)
@@ -281,7 +282,7 @@ def classes(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node: connected components of (a, b), named by their smallest node.
 
     Alternates two contractions: a node hangs its larger neighbours on its smallest neighbour, then its smaller ones. Each round
-    is written to the shared folder. Degrees only shrink towards stars, sums are combined map-side.
+    is written to the shared folder. Degrees only shrink towards stars, sums are combined map-side. Few links go through few tasks.
     """
     def state(df: DataFrame) -> tuple:
         """Tells sets of edges apart: their number and the exclusive or of their hashes."""
@@ -289,15 +290,18 @@ def classes(links: DataFrame) -> DataFrame:
 
     edges = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct())
     before = state(edges)
+    tasks = min(partitions(edges.sparkSession), 1 + before[0] // EDGES_A_TASK)
+    edges = edges.coalesce(tasks)
     while True:
-        both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("node")).agg(F.least(F.min("lo"), F.col("node")).alias("least"))
+        both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).coalesce(tasks)
+        least = both.groupBy(F.col("hi").alias("node")).agg(F.least(F.min("lo"), F.col("node")).alias("least")).coalesce(tasks)
         large = edges.select(F.col("lo").alias("node"), "hi").join(least, "node").select("hi", F.col("least").alias("lo"))
-        large = large.unionByName(least.where("node > least").select(F.col("node").alias("hi"), F.col("least").alias("lo"))).where("hi > lo").distinct()
-        large = stored(large)
-        small_least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        large = large.unionByName(least.where("node > least").select(F.col("node").alias("hi"), F.col("least").alias("lo")))
+        large = stored(large.where("hi > lo").coalesce(tasks).distinct().coalesce(tasks)).coalesce(tasks)
+        small_least = large.groupBy("hi").agg(F.min("lo").alias("least")).coalesce(tasks)
         small = large.join(small_least, "hi").where("lo > least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        edges = stored(small.unionByName(small_least.select("hi", F.col("least").alias("lo"))).distinct())
+        small = small.unionByName(small_least.select("hi", F.col("least").alias("lo"))).coalesce(tasks)
+        edges = stored(small.distinct().coalesce(tasks)).coalesce(tasks)
         after = state(edges)
         if after == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
@@ -320,22 +324,19 @@ def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.where(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1).select(*texts.columns)
 
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """Of (node, weight, key): the groups of two or more, one of those with the same members, with size and hub, the lightest text."""
-    hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node")) for k in range(2)]
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *(h.alias(f"h{k}") for k, h in enumerate(hashes)))
-    heads = heads.where("n > 1").groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "hub")).alias("head"))
-    return stored(members.join(heads.select("head.key", "n", F.col("head.hub.node").alias("hub")), "key").select("key", "node", "weight", "n", "hub"))
+def _grouped(members: DataFrame, once: bool) -> DataFrame:
+    """Of (node, weight, key): the groups of two or more, with size and hub, the lightest text; ``once``: of those with equal members one."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in range(2)]
+    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *hashes).where("n > 1")
+    if once:
+        heads = heads.groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "hub")).alias("head")).select("head.key", "n", "head.hub")
+    return stored(members.join(heads.select("key", "n", F.col("hub.node").alias("hub")), "key").select("key", "node", "n", "hub"))
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int) -> DataFrame:
-    """Similarities of the distinct (a, b). A text b of many pairs is joined to them under several keys, so that no task gets them all."""
-    times = pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT_HUB).cast("int").alias("salts"))
-    hubs = times.join(bodies.withColumnRenamed("node", "b"), "b").select("b", F.col("body").alias("text_b"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salts = times.where("salts > 1").select("b", "salts")  # few: each stands for HOT_HUB pairs or more
-    salted = pairs.join(salts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    texts = bodies.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
-    return stored(similarities(salted.join(texts, "a").join(hubs.drop("salts"), ["b", "salt"]), weights, size))
+    """Similarities of the distinct (a, b). Many pairs may have one b, a hub: adaptive execution splits that side of the last join."""
+    first, second = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"text_{x}")) for x in ("a", "b"))
+    return stored(similarities(pairs.join(first, "a").join(second, "b"), weights, size))
 
 
 def _unsettled(groups: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
@@ -350,16 +351,16 @@ def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size:
     def stars(groups: DataFrame) -> DataFrame:
         return groups.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
-    bands = _grouped(members)
+    bands = _grouped(members, once=False)
     wanted = stored(bands.select("node").distinct())
     # copies are merged map-side before the join; an inner join, as a semi join would be pushed below the prefilter
     bodies = stored(prefiltered(texts, wanted).groupBy("node").agg(F.first("body").alias("body")).join(wanted, "node"))
     judged = _compared(stars(bands), bodies, weights, size)
     links = [judged.where(F.col("similarity") >= similarity).select("a", "b")]
 
-    open_nodes = stored(_unsettled(bands, judged, similarity).select("node").distinct())
+    open_nodes = _unsettled(bands, judged, similarity).select("node").distinct()
     rare = stored(rare_shingles(bodies.join(open_nodes, "node"), weights, size, similarity))
-    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")))
+    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")), once=True)
     more = _compared(stars(groups).join(judged.select("a", "b"), ["a", "b"], "left_anti"), bodies, weights, size)
     links.append(more.where(F.col("similarity") >= similarity).select("a", "b"))
     links = stored(reduce(DataFrame.unionByName, links))

@@ -99,7 +99,6 @@ def test_groups_without_a_common_hub(spark, seed):
 
 def test_a_hot_band_of_near_copies_and_strangers(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_TEXTS", 60)
-    monkeypatch.setattr(M, "HOT_HUB", 50)
     rng = np.random.default_rng(8)
     passage = [f"p{k}" for k in range(90)]
     # texts that share nine tenths with one another in changing parts: prefixes meet, yet many pairs are not similar
