@@ -324,13 +324,17 @@ def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.where(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1).select(*texts.columns)
 
 
-def _grouped(members: DataFrame, once: bool) -> DataFrame:
-    """Of (node, weight, key): the groups of two or more, with size and hub, the lightest text; ``once``: of those with equal members one."""
+def _grouped(members: DataFrame, similarity: float, once: bool) -> DataFrame:
+    """Of (node, weight, key): the groups of two or more, with size and hub, the lightest text; ``once``: of those with equal members one.
+
+    ``far`` members are too heavy to be similar to the hub, which no text needs to be compared for.
+    """
     hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in range(2)]
     heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *hashes).where("n > 1")
     if once:
         heads = heads.groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "hub")).alias("head")).select("head.key", "n", "head.hub")
-    return stored(members.join(heads.select("key", "n", F.col("hub.node").alias("hub")), "key").select("key", "node", "n", "hub"))
+    far = F.col("weight") * (similarity * (1 - 1e-4)) > F.col("hub.weight")
+    return stored(members.join(heads.select("key", "n", "hub"), "key").select("key", "node", "n", F.col("hub.node").alias("hub"), far.alias("far")))
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int) -> DataFrame:
@@ -340,18 +344,19 @@ def _compared(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int)
 
 
 def _unsettled(groups: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
-    """Members of the groups of three or more whose hub is not similar to all of them."""
+    """Members of the groups of three or more whose hub is not similar to all of them (in a pair, the hub is the only other)."""
     refused = judged.where(F.col("similarity") < similarity).select(F.col("a").alias("node"), F.col("b").alias("hub"))
-    keys = groups.where("n > 2").join(refused, ["node", "hub"]).select("key").distinct()
+    large = groups.where("n > 2")
+    keys = large.where("far").select("key").unionByName(large.where("not far").join(refused, ["node", "hub"]).select("key")).distinct()
     return groups.join(keys, "key")
 
 
 def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
     """(a, b): links that join all similar texts of each group of members (node, weight, key); texts has their (node, body)."""
     def stars(groups: DataFrame) -> DataFrame:
-        return groups.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        return groups.where((F.col("node") != F.col("hub")) & ~F.col("far")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
-    bands = _grouped(members, once=False)
+    bands = _grouped(members, similarity, once=False)
     wanted = stored(bands.select("node").distinct())
     # copies are merged map-side before the join; an inner join, as a semi join would be pushed below the prefilter
     bodies = stored(prefiltered(texts, wanted).groupBy("node").agg(F.first("body").alias("body")).join(wanted, "node"))
@@ -360,7 +365,7 @@ def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size:
 
     open_nodes = _unsettled(bands, judged, similarity).select("node").distinct()
     rare = stored(rare_shingles(bodies.join(open_nodes, "node"), weights, size, similarity))
-    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")), once=True)
+    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")), similarity, once=True)
     more = _compared(stars(groups).join(judged.select("a", "b"), ["a", "b"], "left_anti"), bodies, weights, size)
     links.append(more.where(F.col("similarity") >= similarity).select("a", "b"))
     links = stored(reduce(DataFrame.unionByName, links))
