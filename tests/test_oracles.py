@@ -45,7 +45,7 @@ def later(sf_dir, database, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["r06"])
+@pytest.mark.parametrize("name", ["r06", "r07"])
 def test_refunds_of_any_day_are_reported(spark, sf_dir, later, name):
     result = QUERIES[name](spark, later)
     assert result.count() == QUERIES[name](spark, sf_dir).count() > 0
