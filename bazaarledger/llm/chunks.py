@@ -88,6 +88,11 @@ def word_tokenizer(path: str, separator: str, batch: int = 1000) -> Chunks:
     return _KEPT[path, separator]
 
 
+def forget() -> None:
+    """Free the tokenizers kept and what they have learned, for tasks of other work that come to the same worker."""
+    _KEPT.clear()
+
+
 #: Characters that NFC leaves alone and that are letters, digits or marks in every Unicode version.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from bazaarledger.llm import chunks
 from bazaarledger.llm import words as W
 from bazaarledger.llm.frames import binary_list, digest, fresh, partitions, ship
 
@@ -54,6 +55,7 @@ def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[list[pa.RecordBatch]]:
     """Consecutive pieces that together hold about block_bytes of text."""
+    chunks.forget()  # blocks and the sketch need the memory that a worker keeps from tokenizing
     held, size = [], 0
     for piece in W.pieces(batches, column):
         held.append(piece)

@@ -9,7 +9,9 @@
    open. Two similar texts share a shingle among the rarest of each, those that hold a little over 1 - ``SIMILARITY`` of its weight
    (prefix filter), so all links between open texts lie in the groups by such shingles. Groups of the same members count once, and
    their hubs are tried as well. What is left are groups whose members are not all in one class by the links found so far:
-   members outside the group's main class are compared with all its members, in tiles of blocks of texts of bounded size.
+   members outside the group's main class are compared with all its members. Pairs of a group of bounded size are compared once each,
+   whatever the groups they share, if the weight that both texts have from the group's shingle on allows a link (positional filter);
+   larger groups in tiles of blocks of texts of bounded size.
    So no link that joins classes is lost among texts that share a band, and the number of steps is fixed.
 4. Verified links are contracted to classes by rounds of hashed minimum labels.
 """
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarledger.llm import chunks
 from bazaarledger.llm import words as W
 from bazaarledger.llm.frames import binary_list, digest, fresh, partitions, ship, stored
 
@@ -40,6 +43,9 @@ IDF_SHARE = 0.25
 #: Texts, and shingles, of one block of a tile; a tile holds two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
 
+#: Texts of a group whose pairs are listed; larger groups go through tiles.
+PAIR_TEXTS = 100
+
 #: Links of a task while classes are formed.
 EDGES_A_TASK = 200_000
 
@@ -84,6 +90,7 @@ def document_frequencies(texts: DataFrame, column: str, size: int = SHINGLE, cel
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, total = np.zeros((SKETCH_ROWS, cells), dtype=np.int64), 0, 0
         held: list[np.ndarray] = []
+        chunks.forget()  # the memory that a worker keeps from tokenizing is needed here
 
         def flush() -> None:
             value = np.concatenate(held)
@@ -173,6 +180,7 @@ def band_keys(texts: DataFrame, column: str, key: str, weights: Weights, size: i
     held = texts.sparkSession.sparkContext.broadcast(weights)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.forget()
         for piece in W.pieces(batches, column):
             row, value, count = shingles(W.Words(piece.column(piece.schema.get_field_index(column))), size)
             if not len(row):
@@ -215,8 +223,8 @@ def similarities(pairs: DataFrame, weights: Weights, size: int = SHINGLE) -> Dat
 
 
 def rare_shingles(texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
-    """(node, weight, shingles, keys) of (node, body): ``keys`` are hashes of the rarest shingles, whose others weigh less than
-    ``similarity`` of the text. Texts of at least that similarity share a key: what a text has in common with another is at least that
+    """(node, weight, shingles, keys, reach) of (node, body): ``keys`` are hashes of the rarest shingles, whose others weigh less than
+    ``similarity`` of the text; ``reach`` is, by key, the weight of that shingle and all that are not as rare. Texts of at least that similarity share a key: what a text has in common with another is at least that
     share of its weight, so it can't all lie past the last key of the text whose keys end first."""
     held = texts.sparkSession.sparkContext.broadcast(weights)
 
@@ -232,9 +240,10 @@ def rare_shingles(texts: DataFrame, weights: Weights, size: int, similarity: flo
             keep = total[row] - before >= similarity * (1 - 1e-6) * total[row]
             ends = np.append(0, np.cumsum(np.bincount(row[keep], minlength=piece.num_rows)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.mix(value[keep] + _SEEDS[1]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total), pa.array(np.bincount(row, minlength=piece.num_rows)), lists], ["node", "weight", "shingles", "keys"])
+            reach = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((total[row] - before)[keep]))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total), pa.array(np.bincount(row, minlength=piece.num_rows)), lists, reach], ["node", "weight", "shingles", "keys", "reach"])
 
-    return texts.select("node", "body").mapInArrow(rarest, "node binary, weight double, shingles long, keys array<long>")
+    return texts.select("node", "body").mapInArrow(rarest, "node binary, weight double, shingles long, keys array<long>, reach array<double>")
 
 
 def tile_links(tiles: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
@@ -325,20 +334,25 @@ def prefiltered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _grouped(members: DataFrame, similarity: float, once: bool) -> DataFrame:
-    """Of (node, weight, key): the groups of two or more, with size and hub, the lightest text; ``once``: of those with equal members one.
+    """Of (node, weight, key): the groups of two or more, with size and hub, the lightest text; ``once``: of those with equal members one,
+    that of the rarest shingle, with (weight, reach) of each member.
 
     ``far`` members are too heavy to be similar to the hub, which no text needs to be compared for.
     """
     hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in range(2)]
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *hashes).where("n > 1")
+    extra = ["weight", "reach"] if once else []
+    reach = [F.sum("reach").alias("reach")] if once else []  # all members have more of it from a rarer shingle on
+    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("weight", "node")).alias("hub"), *hashes, *reach).where("n > 1")
     if once:
-        heads = heads.groupBy("n", "h0", "h1").agg(F.min(F.struct("key", "hub")).alias("head")).select("head.key", "n", "head.hub")
+        heads = heads.groupBy("n", "h0", "h1").agg(F.max(F.struct("reach", "key", "hub")).alias("head")).select("head.key", "n", "head.hub")
     far = F.col("weight") * (similarity * (1 - 1e-4)) > F.col("hub.weight")
-    return stored(members.join(heads.select("key", "n", "hub"), "key").select("key", "node", "n", F.col("hub.node").alias("hub"), far.alias("far")))
+    return stored(members.join(heads.select("key", "n", "hub"), "key").select("key", "node", "n", F.col("hub.node").alias("hub"), far.alias("far"), *extra))
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, weights: Weights, size: int) -> DataFrame:
     """Similarities of the distinct (a, b). Many pairs may have one b, a hub: adaptive execution splits that side of the last join."""
+    pairs = stored(pairs)
+    bodies = prefiltered(bodies, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     first, second = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"text_{x}")) for x in ("a", "b"))
     return stored(similarities(pairs.join(first, "a").join(second, "b"), weights, size))
 
@@ -351,6 +365,20 @@ def _unsettled(groups: DataFrame, judged: DataFrame, similarity: float) -> DataF
     return groups.join(keys, "key")
 
 
+def open_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a the smaller, once each: pairs of unlike labels in a group of (key, node, weight, reach, label, main) that may be similar.
+
+    All that two texts share lies at or past the rarest shingle they share, so in the group by that one either's reach holds it; a
+    similar pair shares at least ``similarity / (1 + similarity)`` of the sum of both weights.
+    """
+    def side(x: str) -> list[Column]:
+        return [F.col(name).alias(f"{name}_{x}") for name in ("node", "weight", "reach", "label")]
+
+    both = members.where("label != main").select("key", *side("a")).join(members.select("key", *side("b")), "key").where("label_a != label_b")
+    both = both.where(F.least("reach_a", "reach_b") >= similarity / (1 + similarity) * (1 - 1e-4) * (F.col("weight_a") + F.col("weight_b")))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size: int, similarity: float) -> DataFrame:
     """(a, b): links that join all similar texts of each group of members (node, weight, key); texts has their (node, body)."""
     def stars(groups: DataFrame) -> DataFrame:
@@ -365,19 +393,25 @@ def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size:
 
     open_nodes = _unsettled(bands, judged, similarity).select("node").distinct()
     rare = stored(rare_shingles(bodies.join(open_nodes, "node"), weights, size, similarity))
-    groups = _grouped(rare.select("node", "weight", F.explode("keys").alias("key")), similarity, once=True)
+    keys = rare.select("node", "weight", F.explode(F.arrays_zip("keys", "reach")).alias("at"))
+    groups = _grouped(keys.select("node", "weight", F.col("at.keys").alias("key"), F.col("at.reach").alias("reach")), similarity, once=True)
     more = _compared(stars(groups).join(judged.select("a", "b"), ["a", "b"], "left_anti"), bodies, weights, size)
     links.append(more.where(F.col("similarity") >= similarity).select("a", "b"))
     links = stored(reduce(DataFrame.unionByName, links))
 
     labels = classes(links)
     rest = _unsettled(groups, judged.unionByName(more), similarity).join(labels, "node", "left").join(rare.select("node", "shingles"), "node")
-    rest = stored(rest.select("key", "node", "shingles", F.coalesce("label", "node").alias("label")))
+    rest = stored(rest.select("key", "node", "weight", "reach", "shingles", F.coalesce("label", "node").alias("label")))
     main = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
     main = main.groupBy("key").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("all"),
         (F.sum("n") - F.max("n")).alias("n_other"), F.sum("shingles").alias("most_other"),
     ).where("n_other > 0")
+    main = stored(main)
+    compared = judged.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = open_pairs(rest.join(main.where(F.col("n") <= PAIR_TEXTS).select("key", "main"), "key"), similarity).join(compared, ["a", "b"], "left_anti")
+    linked = _compared(pairs, bodies, weights, size).where(F.col("similarity") >= similarity).select("a", "b")
+    main = main.where(F.col("n") > PAIR_TEXTS)
 
     def blocks(texts: str, shingles: str) -> Column:
         return F.greatest(F.ceil(F.col(texts) / BLOCK_TEXTS), F.ceil(F.col(shingles) * F.col(texts) / F.col("n") / BLOCK_SHINGLES)).cast("int")
@@ -392,8 +426,9 @@ def similar_pairs(members: DataFrame, texts: DataFrame, weights: Weights, size:
     placed = rest.join(main, "key")
     asking = placed.where("label != main").select("key", block("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("asks"), "node")
     asked = placed.select("key", every("rows").alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"), "node")
-    tiles = asking.unionByName(asked).join(bodies, "node")
-    return links.unionByName(tile_links(tiles, weights, size, similarity))
+    tiles = stored(asking.unionByName(asked))
+    tiles = tiles.join(prefiltered(bodies, tiles), "node")
+    return links.unionByName(linked).unionByName(tile_links(tiles, weights, size, similarity))
 
 
 def near_duplicate_nodes(df: DataFrame, text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -112,6 +112,32 @@ def test_a_hot_band_of_near_copies_and_strangers(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_open_pairs_of_many_small_groups_send_their_texts_once(spark, monkeypatch, limit):
+    sent = []
+    tile_links = M.tile_links
+    monkeypatch.setattr(M, "tile_links", lambda tiles, *more: sent.append(tiles.count()) or tile_links(tiles, *more))
+    monkeypatch.setattr(M, "PAIR_TEXTS", limit)
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):  # words of ten each from twelve small sets: texts meet in many groups of unlike members, and most are not similar
+        own = [f"q{s}x{rng.integers(0, 3)}" for s in range(12)]
+        texts.append(" ".join([f"p{s}" for s in range(20)] + own))
+    got, want, _ = joined(spark, [texts], 1, 0.8)
+    assert got == want
+    assert (sent[0] == 0) == (limit == 100)  # the same classes by tiles, which take each text once a group
+
+
+def test_a_worker_forgets_its_tokenizer_when_it_turns_to_other_work():
+    import pyarrow as pa
+
+    from bazaarledger.llm import chunks, substring_dedup
+
+    chunks._KEPT["path", "separator"] = chunks.Chunks(None)
+    list(substring_dedup._blocks(iter([pa.RecordBatch.from_arrays([pa.array(["a b"])], ["text"])]), "text", 1 << 20))
+    assert not chunks._KEPT
+
+
 def test_no_links_and_no_rows(spark):
     none = spark.createDataFrame([], "node binary, weight double, key long")
     texts = spark.createDataFrame([], "node binary, body string")
