@@ -74,6 +74,49 @@ def test_a_hot_key_meets_few_ranges_per_row(shuffled):
     assert max(task_sizes(joined)) < 0.5 * joined.count()
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("closed", ["both", "left"])
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_merged_ranges_equal_plain_ranges(spark, how, closed, kind):
+    dice = random.Random(f"{how}{closed}{kind}m")
+    moment = lambda: f"{dice.choice([2023, 2024, 2024, 2024])}-{dice.randint(1, 12):02d}-{dice.randint(1, 28):02d} {dice.randint(0, 23):02d}:{dice.choice(['00', '30'])}:{dice.choice(['00', '07', '59.5'])}"
+    again, bounds = [moment() for _ in range(40)], ["0001-01-01 00:00:00", "9999-12-31 00:00:00", "1969-12-31 23:59:59", None]
+    facts = [(n % 250, dice.choice([1, 1, 1, 2, 5, None]), dice.choice([moment(), *again, None])) for n in range(300)]  # rows that come twice, too
+    ranges = [(dice.choice([1, 1, 2, 3, None]), *sorted([dice.choice(again), moment()]), dice.choice([k, k, None])) for k in range(60)]
+    ranges += [(dice.choice([1, 2]), *dice.sample([*bounds, *again[:4]], 2), k) for k in range(60)]
+    ranges += [(1, again[k], again[k], k) for k in range(9)]
+    facts = spark.createDataFrame(facts, "n int, k int, at string").withColumn("at", F.col("at").cast(kind))
+    ranges = spark.createDataFrame(ranges, "k int, low string, high string, v int").withColumns({c: F.col(c).cast(kind) for c in ("low", "high")})
+    arguments = (facts, ranges, [("k", "k")], "at", "low", "high")
+    plain = join_valid(*arguments, {"v": "v"}, closed, how).groupBy("n").agg(F.count("v").alias("c"), F.sum("v").alias("s"), F.min("v").alias("l"), F.max("v").alias("h"))
+    taken, merge = dict.fromkeys("cslh", "v"), {"c": "count", "s": "sum", "l": "min", "h": "max"}
+    merged = join_valid_binned(*arguments, taken, closed, how, merge=merge).groupBy("n").agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.sum("s").alias("s"), F.min("l").alias("l"), F.max("h").alias("h"))
+    assert rows(merged) == rows(plain)
+    with pytest.raises(ValueError):
+        join_valid_binned(*arguments, taken, closed, how, merge={"c": "avg", "s": "sum", "l": "min", "h": "max"})
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_merged_ranges_give_few_rows_for_many_matches(spark, how):
+    ranges = spark.range(3000).selectExpr("1 as k", "id as v", "timestampadd(MINUTE, -cast(id as int), timestamp'2024-01-01') as low", "timestampadd(MINUTE, cast(id as int), timestamp'2025-01-01') as high")
+    facts = spark.range(400).selectExpr("id", "1 as k", "timestampadd(MINUTE, cast(id * 60 as int), timestamp'2024-01-02') as at")
+    arguments = (facts, ranges, [("k", "k")], "at", "low", "high")
+    assert join_valid_binned(*arguments, {"v": "v"}, "left", how).count() == 400 * 3000
+    merged = join_valid_binned(*arguments, {"v": "v"}, "left", how, merge={"v": "sum"})
+    assert merged.count() == 400 and {r.v for r in merged.collect()} == {2999 * 1500}
+
+
+def test_a_left_binned_join_shuffles_no_matches(shuffled):
+    ranges = shuffled.range(200).selectExpr("1 as k", "id as v", "timestamp'2024-01-01' as low", "timestamp'2024-01-09' as high")
+    facts = shuffled.range(100).selectExpr("id", "1 as k", "timestampadd(HOUR, cast(id * 3 as int), timestamp'2024-01-01') as at")
+    joined = join_valid_binned(facts, ranges, [("k", "k")], "at", "low", "high", {"v": "v"}, "left", "left")
+    tree = plan(joined).split("\n\n")[0]
+    below = tree[tree.index("LeftAnti") :]  # only this join has the rows of df beside what was found
+    assert "LeftOuter" not in tree and "Inner" not in below and "LeftSemi" in below
+    assert joined.count() == 64 * 200 + 36
+
+
 def test_hot_lookup_keys_are_dealt_out(shuffled):
     facts = shuffled.range(20_000).selectExpr("id", "if(id % 10 < 3, 7, id % 500) as k")  # one key holds 30 % of the rows
     lookup = shuffled.range(400).selectExpr("id as k", "concat('n', id) as name").unionByName(shuffled.range(7, 8).selectExpr("id as k", "'again' as name"))
