@@ -19,6 +19,7 @@ from bazaarledger.plans import early_payment_report, promo_report, ratings_repor
 from bazaarledger.plans.params import EarlyPaymentParams, PaymentParams, PromoParams, RatingsParams
 from bazaarledger.functions.dates import Grain
 from bazaarledger.sources.bucketed import bucketed
+from checks import operators
 from checks.adapters import CODES, REGIONS, marketplace
 from checks.reports import DEALT, by_order, with_variants
 
@@ -97,6 +98,28 @@ def test_merged_ranges_equal_plain_ranges(spark, how, closed, kind):
         join_valid_binned(*arguments, taken, closed, how, merge={"c": "avg", "s": "sum", "l": "min", "h": "max"})
 
 
+def test_the_priced_events_compare_few_ranges(shuffled, tmp_path):
+    """The check itself: what its join gives does not grow with the number of lists an event lies in."""
+    lists = shuffled.range(3000).selectExpr("id * 3 as p_partkey", "49 as p_size")
+    events = shuffled.range(500).selectExpr("id as event_id", "0L as user_id", "timestampadd(MINUTE, cast(20000 + id as int), timestamp_ntz'2024-01-01') as ts")
+    lists.write.parquet(str(tmp_path / "part.parquet"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    joined = {}
+
+    def kept(*arguments, **more):
+        joined["rows"] = join_valid_binned(*arguments, **more)
+        return joined["rows"]
+
+    found = rows(operators._priced(operators.Source(shuffled, str(tmp_path)), kept, "inner"))
+    want = Counter()
+    starts = [(k * 3, k * 3 * 37 % 40000) for k in range(3000)]
+    for n in range(500):
+        held = [part for part, low in starts if low <= 20000 + n < low + 49 * 49]
+        want[(n, sum(held), len(held))] += bool(held)
+    assert found == +want and max(r[2] for r in found) > 100
+    assert joined["rows"].count() <= 500 * 10
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_merged_ranges_give_few_rows_for_many_matches(spark, how):
     ranges = spark.range(3000).selectExpr("1 as k", "id as v", "timestampadd(MINUTE, -cast(id as int), timestamp'2024-01-01') as low", "timestampadd(MINUTE, cast(id as int), timestamp'2025-01-01') as high")
