@@ -19,9 +19,10 @@ from bazaarledger.plans import early_payment_report, promo_report, ratings_repor
 from bazaarledger.plans.params import EarlyPaymentParams, PaymentParams, PromoParams, RatingsParams
 from bazaarledger.functions.dates import Grain
 from bazaarledger.sources.bucketed import bucketed
+from bazaarledger.sources.partitions import CompactDate, YearMonthDay, partition_between
 from checks import operators
 from checks.adapters import CODES, REGIONS, marketplace
-from checks.reports import DEALT, by_order, with_variants
+from checks.reports import DEALT, by_order, on_edges, with_variants
 
 
 def plan(df) -> str:
@@ -250,3 +251,16 @@ def test_ratings_read_their_inputs_once(spark, market):
 
 def test_every_partitioned_input_is_dealt_over_edges():
     assert {"app_log", "wallet_tx", "cashier_payment", "order_snapshot", "refund_approved", "payment_booking", "ticket", "refund_request"} <= set(DEALT)
+
+
+def test_rows_dealt_over_edges_keep_their_days_and_cost_one_number_a_test(spark, market):
+    windows = dict.fromkeys(DEALT, (10, 2))
+    edges = on_edges(**windows)(market)
+    for name, (column, ways, key) in DEALT.items():
+        number = F.substr(F.expr(column), F.lit(2)).cast("bigint")
+        found = edges[name].select((F.floor(number / ways) % 4).alias("place"), key.value().alias("day")).distinct()
+        days = {0: "1994-12-21", 1: "1994-12-22", 2: "1995-01-03" if name == "cashier_payment" else "2002-01-02", 3: "1995-01-04" if name == "cashier_payment" else "2002-01-03"}
+        wanted = {(place, day.replace("-", "") if isinstance(key, CompactDate) else day) for place, day in days.items()}
+        assert {tuple(r) for r in found.where("place is not null").collect()} == wanted, name
+    kept = partition_between(edges["refund_approved"], "1995-01-01", "2001-12-31", 10, 2, YearMonthDay()).select("booking_code")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("substr(") <= 8  # year twice, all three parts twice
