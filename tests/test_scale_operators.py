@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 import re
 from collections import Counter
@@ -15,11 +16,12 @@ from bazaarledger.operators.intervals import join_valid_binned
 from bazaarledger.operators.joins import enrich, join_valid, reconcile
 from bazaarledger.operators.key_filter import KeyFilter
 from bazaarledger.operators.skew import enrich_hot, reconcile_hot
-from bazaarledger.plans import early_payment_report, promo_report, ratings_report, single_payment_report, split_payment_report
+from bazaarledger.plans import early_payment_report, payments, promo_report, ratings_report, single_payment_report, split_payment_report
 from bazaarledger.plans.params import EarlyPaymentParams, PaymentParams, PromoParams, RatingsParams
 from bazaarledger.functions.dates import Grain
-from bazaarledger.sources.bucketed import bucketed
+from bazaarledger.sources.bucketed import bucketed, write_bucketed
 from bazaarledger.sources.partitions import CompactDate, YearMonthDay, partition_between
+from bazaarledger.sources.tables import Tables
 from checks import operators
 from checks.adapters import CODES, REGIONS, marketplace
 from checks.reports import DEALT, by_order, on_edges, with_variants
@@ -225,6 +227,49 @@ def test_bucketed_orders_and_bookings_are_not_shuffled(shuffled, market, report,
     assert text.count("SelectedBucketsCount: 8 out of 8") >= 2
 
 
+def test_finished_payment_rows_are_shuffled_once_for_each_merchant(shuffled, market):
+    """Broadcasts off: lookups and payouts of the sub-merchant share a shuffle, those of the merchant another one."""
+    text = plan(split_payment_report(market, PAYMENT))
+    exchanged = [block for block in text.split("\n\n") if block.lstrip().split("\n")[0].endswith(") Exchange")]
+    wide = [block for block in exchanged if re.search(r"Input \[\d+\]: [^\n]*net_payable", block)]
+    by = [re.search(r"hashpartitioning\((.*), \d+\)", block).group(1) for block in wide]
+    assert len([keys for keys in by if "cluster" not in keys and "cancel" not in keys]) == 2, by
+
+
+@pytest.mark.parametrize("chains", [(), ("CH1", "CH2")])
+def test_merchant_lookups_that_repeat_multiply_orders_as_one_after_the_other(spark, chains):
+    frame = lambda schema, *data: spark.createDataFrame(list(data), schema)
+    tables = Tables.of({
+        "merchant": frame("merchant_id string, name string, chain_number string", ("a", "A", "CH1"), ("a", "A2", "CH2"), ("b", "B", "CH3"), ("c", "C", None), (None, "N", "CH1"), ("e", "E", "CH1")),
+        "merchant_contract": frame("merchant_id string, wallet_account_id string, invoice_email string", ("a", "wa", "x"), ("b", "wb", None), (None, "wn", "y")),
+        "bank_account": frame("store_wallet_account_id string, account_number string, swift_code string, bank_statement_code string, bank_name_id int", ("wa", "1", "s", "t", 1), ("wa", "2", "s", "t", None)),
+        "bank": frame("id int, bank_name string", (1, "one")),
+        "driver": frame("identification_card_number string, id int", ("a", 7), ("a", 8), ("d", 9), (None, 10), ("c", 11)),
+        "legacy_bank_account": frame("user_id int, acc_number string, bank_id int", (7, "n7", 1), (9, "n9", None), (10, "n10", 1)),
+        "legacy_bank": frame("id int, code string", (1, "LB")),
+        "cancel_reason": frame("cancel_code int, cancel_reason_enum string", (1, "R")),
+    })
+    orders = spark.createDataFrame([(n, m, n % 2) for n, m in enumerate(["a", "b", "c", "d", "e", "f", None, "a"])], "order_id int, merchant_id string, cancel_code int")
+    params = PaymentParams(start="1995-01-01", end="2001-12-31", as_of="2001-08-10", codes=CODES, chains=chains)
+    profile = payments.merchant_profile(tables).where(F.col("chain_number").isin(*chains)) if chains else payments.merchant_profile(tables)
+    names = ("merchant_name", "wallet_account_id", "invoice_contact_email", *payments.BANK_COLUMNS)
+    plain = enrich(orders, profile, [("merchant_id", "merchant_id")], {n: n for n in names}, "inner" if chains else "left")
+    names = ("merchant_account_id", *payments.LEGACY_BANK_COLUMNS)
+    plain = enrich(plain, payments.account_profile(tables), [("merchant_id", "identification_card_number")], {n: n for n in names})
+    plain = enrich(plain, tables["cancel_reason"], [("cancel_code", "cancel_code")], {"cancel_reason_enum": "cancel_reason_enum"})
+    assert rows(payments.with_merchant(tables, orders, params)) == rows(plain)
+    hot = dataclasses.replace(params, hot_merchant_rows=1)
+    tables = Tables(lambda name, known=tables: orders.withColumn("partition_date", F.lit("1996-01-01")) if name == "order_snapshot" else known[name])
+    assert rows(payments.with_merchant(tables, orders, hot)) == rows(plain)
+
+
+def test_bucketed_copies_are_compressed_well(spark, market, tmp_path):
+    write_bucketed(market["booking_base"], "small_copy_of_bookings", ["order_id"], 2, str(tmp_path / "copy"))
+    files = list((tmp_path / "copy").glob("*.parquet"))
+    assert len(files) == 2 and all("zstd" in f.name for f in files)
+    spark.sql("drop table small_copy_of_bookings")
+
+
 def test_bucketed_copies_keep_their_rows(spark, market):
     copies = bucketed(market, {"booking_base": ["order_id"]}, 4, "copy_of_bookings_")
     assert rows(copies["booking_base"]) == rows(market["booking_base"]) and copies["merchant"] is market["merchant"]
@@ -235,8 +280,6 @@ def test_variant_documents_are_not_parsed_again(spark, market, tmp_path):
     typed = with_variants(market)
     typed["order_snapshot"].limit(50).write.parquet(str(tmp_path / "orders"))
     stored = spark.read.parquet(str(tmp_path / "orders"))
-    from bazaarledger.sources.tables import Tables
-
     tables = Tables(lambda name: stored if name == "order_snapshot" else market[name])
     for report, params in ((split_payment_report, PAYMENT), (promo_report, PromoParams(regions=REGIONS, start="1995-01-01", end="2001-12-31"))):
         text = plan(report(tables, params))
