@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarledger.operators import intervals
+from bazaarledger.operators import intervals, skew
 from bazaarledger.operators.aggregates import largest_per_state
 from bazaarledger.operators.intervals import join_valid_binned
 from bazaarledger.operators.joins import enrich, join_valid, reconcile
@@ -173,6 +173,23 @@ def test_full_join_deals_out_hot_and_null_keys(shuffled):
     assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
+def test_full_join_repeats_rows_of_a_key_hot_on_both_sides_little(shuffled, monkeypatch):
+    def repeated(n_left: int, n_right: int, hot_rows: int) -> tuple[int, ...]:
+        ways = skew._places(skew._ways(F.lit(n_left), hot_rows), skew._ways(F.lit(n_right), hot_rows))
+        wide, tall = shuffled.range(1).select(*[w.alias(f"w{k}") for k, w in enumerate(ways)]).first()
+        return wide, tall, n_left * tall + n_right * wide
+
+    assert repeated(400, 120, 15)[:2] == (27, 8)
+    wide, tall, moved = repeated(1_800_000, 14_400, 100)
+    assert moved < 25_000_000 and skew.MOST_PLACES <= wide * tall < 1.3 * skew.MOST_PLACES  # 18,000 x 144 places would move 518,400,000 rows
+    monkeypatch.setattr(skew, "MOST_PLACES", 16)
+    left = shuffled.range(900).selectExpr("case when id % 3 = 0 then id when id % 7 = 0 then null when id % 5 = 0 then -5 else 5 end as k", "id as a")
+    right = shuffled.range(300).selectExpr("case when id % 2 = 0 then 5 when id % 11 = 0 then null when id % 3 = 0 then -6 else id end as k", "id as b")
+    joined = reconcile_hot(left, right, "k", ["a"], ["b"], hot_rows=2)
+    assert rows(joined) == rows(reconcile(left, right, "k"))
+    assert "Inner" in plan(joined) and "FullOuter" in plan(joined)
+
+
 def test_key_filter_keeps_every_key_and_drops_most_others(spark):
     keys = spark.range(5000).selectExpr("concat('B', id * 3) as key").unionByName(spark.createDataFrame([(None,)], "key string"))
     facts = spark.range(100_000).selectExpr("if(id % 1000 = 999, null, concat('B', id)) as code", "id")
